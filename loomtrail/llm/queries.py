@@ -7,7 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, truncation
+from . import boilerplate, encode, residue, truncation
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """message_id of each message with residue instead of content."""
+    return residue.residue(table(spark, sf_dir, "sft_messages")).select("message_id")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue by tool or role and by reason."""
+    return residue.residue_report(table(spark, sf_dir, "sft_messages"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cache_id, line_no of each line of a page that isn't main body."""
+    return boilerplate.boilerplate_lines(table(spark, sf_dir, "tool_cache"))
+
+
+def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cache_id, body: each page with its main body alone."""
+    return boilerplate.main_body(table(spark, sf_dir, "tool_cache"))
+
+
+def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested classes of each site's template."""
+    return boilerplate.site_templates(table(spark, sf_dir, "tool_cache"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +51,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p5_found": p5_found,
+    "p5_body": p5_body,
+    "p5_templates": p5_templates,
     "p6_ids": p6_ids,
     "p8_found": p8_found,
     "p8_report": p8_report,
