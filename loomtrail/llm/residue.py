@@ -106,6 +106,7 @@ _SLOT = re.compile(
 )
 _ANGLE = re.compile(rf"<({_X})>")
 _MAYBE = re.compile(r"\b(?:undefined|null|NaN|TBD)\b|(?<!_)_{3,}(?!_)|\$\d(?![\d.,]|\w)")
+_SITE = re.compile(r"(?:#+ )?[A-ZÀ-Þ][\w'’-]*(?: (?:of |the |von )?[A-ZÀ-Þ0-9][\w'’-]*){0,4}")
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _MASK_URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.\w[\w.]*")
 _MASK_DATE = re.compile(r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
@@ -153,7 +154,7 @@ def _unit_kind(u: str) -> str:
         return "filler"
     if len(words) >= 3 and sum(w in LOREM for w in words) >= 0.8 * len(words):
         return "filler"
-    if len(words) >= 3 and len(set(words)) <= 2 and not re.search(r"[A-ZÀ-Þ]\w+ [A-ZÀ-Þ]", bare) and (len(words) >= 4 or len(set(words)) == 1):
+    if len(words) >= 3 and len(set(words)) <= 2 and re.fullmatch(r"[A-Za-z\s.,;:/_-]+", bare) and max(map(len, words)) <= 8 and not re.search(r"[A-ZÀ-Þ]\w+ [A-ZÀ-Þ]", bare) and (len(words) >= 4 or len(set(words)) == 1):
         return "filler"
     return "filler" if _mash(words, bare) else "other"
 
@@ -164,7 +165,10 @@ def whole_kind(text: str) -> str:
     t = DECORATION.sub("\n", t)
     t = re.sub(r"^\s*(?:summary|note|answer|text|content|description):\s*", "", t, flags=re.I)
     kinds = set()
-    for u in re.split(r"[\r\n]+", t):
+    units = [u for u in re.split(r"[\r\n]+", t) if u.strip()]
+    if len(units) > 1 and _SITE.fullmatch(units[0].strip()) and _unit_kind(units[1]) in ("script", "error"):
+        units = units[1:]  # the site's name over its notice
+    for u in units:
         k = _unit_kind(u)
         if k == "other":
             # a unit may be several notices in a row
