@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import boilerplate, encode, residue, truncation
+from . import boilerplate, encode, related, residue, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,16 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_report(table(spark, sf_dir, "sft_messages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """traj_id, group_id of each trajectory of a group of two or more."""
+    return related.related_groups(table(spark, sf_dir, "trajectories"), table(spark, sf_dir, "page_nodes"), table(spark, sf_dir, "hub_pages"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """traj_id, group_id, split of every trajectory, at 80, 10 and 10 percent."""
+    return related.related_splits(table(spark, sf_dir, "trajectories"), table(spark, sf_dir, "page_nodes"), table(spark, sf_dir, "hub_pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cache_id, line_no of each line of a page that isn't main body."""
     return boilerplate.boilerplate_lines(table(spark, sf_dir, "tool_cache"))
@@ -53,6 +63,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
     "p5_found": p5_found,
     "p5_body": p5_body,
     "p5_templates": p5_templates,
