@@ -5,9 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boilerplate, encode, related, residue, truncation
+from . import boilerplate, encode, overlap, related, residue, subset, truncation
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """traj_a, traj_b of each train and evaluation trajectory that are the same record."""
+    o = overlap.overlaps(table(spark, sf_dir, "trajectories"))
+    return o.select(F.least("train_id", "eval_id").alias("traj_a"), F.greatest("train_id", "eval_id").alias("traj_b")).distinct()
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and dataset."""
+    return overlap.overlap_report(table(spark, sf_dir, "trajectories"))
+
+
+def p2_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages chosen for each row of subset_requests."""
+    return subset.varied_subsets(table(spark, sf_dir, "page_nodes"), table(spark, sf_dir, "subset_requests"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request got."""
+    return subset.subset_report(table(spark, sf_dir, "page_nodes"), table(spark, sf_dir, "subset_requests"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +83,10 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p2_subset": p2_subset,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
