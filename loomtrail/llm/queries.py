@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boilerplate, encode, overlap, related, residue, subset, truncation
+from . import boilerplate, encode, mixing, overlap, related, residue, subset, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, tokens, copies of each document of the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each source, at the size of the corpus."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the largest size at which every source with documents has its target share."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="exact")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of each document whose text was cut."""
     return truncation.cut_texts(table(spark, sf_dir, "documents")).select("doc_id")
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_body": p5_body,
     "p5_templates": p5_templates,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_exact_shares": p7_exact_shares,
     "p8_found": p8_found,
     "p8_report": p8_report,
 }
