@@ -26,9 +26,9 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vect
     nq, nb = queries.count(), base.count()
     qb, bb = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nb // BASE_BLOCK))
     bb = max(bb, min(32, max(1, nb // 500)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), block(key, qb).alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))))
-    b = base.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), block(key, bb).cast("int").alias("b")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("bigint"))
+    b = base.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), block(key, bb).alias("b")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
     def unit(s: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(x, dtype=np.float64) for x in s])
