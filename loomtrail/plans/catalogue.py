@@ -432,10 +432,10 @@ _NODES = "n AS (SELECT title, m.o AS outgoing, coalesce(m.i, -1) AS incoming FRO
 @query(f"""WITH {_NODES}, x AS (SELECT title AS src, unnest(generate_series(0, len(outgoing) - 1)) AS pos, unnest(outgoing) AS o FROM n
     ), e AS (SELECT src, o.title AS dst, min(pos) AS pos FROM (SELECT *, o.title AS t, trim(replace(lower(o.title), 'ß', 'ss')) AS l FROM x) WHERE {_VALID} GROUP BY 1, 2
     ), k AS (SELECT e.src, e.dst FROM e JOIN n ON n.title = e.dst WHERE n.incoming BETWEEN 0 AND 10000), s AS (SELECT title FROM n WHERE incoming BETWEEN 50 AND 10000)
-    SELECT 2 AS hops, count(*) AS paths, count(DISTINCT s.title) AS starts FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst WHERE b.dst <> s.title AND a.dst <> s.title
+    SELECT 2 AS hops, count(*) AS paths, count(DISTINCT s.title) AS starts FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst)
     UNION ALL
     SELECT 3, count(*), count(DISTINCT s.title) FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst JOIN k c ON c.src = b.dst
-    WHERE a.dst <> s.title AND b.dst <> s.title AND c.dst NOT IN (s.title, a.dst)""")
+    WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst) AND c.dst NOT IN (s.title, a.dst, b.dst)""")
 def two_to_four_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     """Acyclic paths of two and three links from pages in the band, through pages that are no hubs."""
     n = _nodes(spark, d)
