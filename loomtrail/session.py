@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that weighs more than a shuffle of its input. A table of many files or row groups stays as it is read; a small single file is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
