@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe import encoder, vocabulary_path
 
 
@@ -39,5 +40,4 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids), one row for every row of documents, also for repeated texts and null ids. A narrow plan: scan, Arrow, no shuffle; whole texts of any length."""
-    spread = documents.select("doc_id", "text")
-    return spread.select("doc_id", token_ids(F.col("text"), path).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), path).alias("ids"))

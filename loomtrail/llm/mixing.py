@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .encode import token_count
 
 BLOCK_ROWS = 5000
@@ -124,7 +124,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
     caps = {r["source"]: None if r["max_repeats"] is None else int(r["max_repeats"]) for r in rows}
     listed = F.broadcast(targets.where("source is not null").select("source"))  # at most 10,000 rows, as checked
     d = documents.where("source is not null and text is not null").join(listed, "source")
-    d = d.select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("page_title")).alias("topic"), token_count(F.col("text"), path).alias("tokens"))
+    d = spread(d.select("doc_id", "source", "lang", "page_title", "text")).select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("page_title")).alias("topic"), token_count(F.col("text"), path).alias("tokens"))
     d = materialize(d.where("tokens > 0"), "counted")
     # sources x 677 languages x 7 topics at most
     cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values(["source", "lang", "topic"]).reset_index(drop=True)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_materialized, materialize
+from ..session import drop_materialized, materialize, spread
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -168,7 +168,7 @@ def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
     said = trajectories.select("traj_id", F.explode("messages").alias("m"))
     parts = said.select("traj_id", F.explode("m.content").alias("p")).select("traj_id", F.col("p.text").alias("text"))
     calls = said.select("traj_id", F.explode("m.tool_calls").alias("c")).select("traj_id", F.explode(strings("c.function.arguments")).alias("text"))
-    texts = parts.unionByName(calls).where("text is not null and text <> ''").withColumn("no", F.monotonically_increasing_id())
+    texts = spread(parts.unionByName(calls).where("text is not null and text <> ''")).withColumn("no", F.monotonically_increasing_id())
     hits = texts.select("traj_id", "no", F.explode(find("text")).alias("f")).select("traj_id", "no", "f.at", (F.col("f.at") + F.col("f.words")).alias("end"), "f.name")
     real = hits.join(names.select("name", "page", "hub"), "name")
     before = Window.partitionBy("traj_id", "no").orderBy("at", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)

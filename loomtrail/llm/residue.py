@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 # Phrases of notices, by language. All are compared with lower-cased units without outer punctuation.
 ERROR_PHRASES = [
@@ -241,7 +241,7 @@ def residue(messages: DataFrame, least_recurrence: int = 3, least_context: int =
     def kind(s: pd.Series) -> pd.Series:
         return s.map(whole_kind)
 
-    parts = messages.select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p")).select("message_id", "src", F.col("p.text").alias("text"))
+    parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p")).select("message_id", "src", F.col("p.text").alias("text"))
     seen = parts.where("text is not null and trim(text) <> ''").withColumn("r", read("text"))
     seen = seen.select("message_id", "src", "text", "r.*").where("slot or size(maybe) > 0 or masked is not null")
     seen = materialize(seen.withColumn("h", F.xxhash64("masked")), "residue")

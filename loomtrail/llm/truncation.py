@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 TERMINATORS = ".!?。！？｡।؟‽"
 CLOSERS = "\"'”’»)]}」』】*_"
@@ -137,7 +137,7 @@ def endings(documents: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([read_ending(x) for x in s], columns=["state", "form", "n", "last", "prose"])
 
-    e = documents.select("doc_id", "source", "text").withColumn("e", read("text"))
+    e = spread(documents.select("doc_id", "source", "text")).withColumn("e", read("text"))
     return e.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.xxhash64("text").alias("h"), "e.*")
 
 
