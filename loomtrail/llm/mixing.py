@@ -147,6 +147,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
 def mix_report(documents: DataFrame, targets: DataFrame, total: float | str | None = None, fill: bool = False, path: str | None = None) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, most_copies, actual_share) of each listed source; tokens counts repeats."""
     m = mix(documents, targets, total, fill, path).groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    r = targets.where("source is not null").join(m, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")])
+    r = targets.where("source is not null").select("source", "target_share", "max_repeats").join(m, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")])
     all_ = F.sum("tokens").over(Window.partitionBy())  # one row for each listed source
     return r.withColumn("actual_share", F.when(all_ > 0, F.col("tokens") / all_).otherwise(0.0))
