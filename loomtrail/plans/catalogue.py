@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import records as D
 from ..functions import text as T
 from ..operators import agentlog as A
 from ..operators import conversation as C
@@ -19,6 +20,7 @@ from ..operators import similarity as S
 from ..operators import statistics as P
 from ..operators import temporal as X
 from ..sources.tables import table
+from ..streaming import agent_stream as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -518,9 +520,8 @@ def cache_key_sha256(spark: SparkSession, d: str) -> DataFrame:
 def cache_ttl_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last write of each cache key that is no older than a week at the time of the last write of all."""
     t = table(spark, d, "tool_cache").where("updated_at is not null").select("namespace", "cache_key", "cache_id", "updated_at")
-    now = t.agg(F.max("updated_at").alias("now"))
-    last = R.latest(t, ["namespace", "cache_key"], tie="cache_id").crossJoin(F.broadcast(now))  # one row
-    return R.live(last, F.col("now")).select("namespace", "cache_key", "cache_id")
+    now = t.agg(F.max("updated_at")).scalar()
+    return R.live(R.latest(t, ["namespace", "cache_key"], tie="cache_id"), now).select("namespace", "cache_key", "cache_id")
 
 
 @query("""SELECT page_id, CASE WHEN coalesce(extract, '') <> '' THEN 'extract' WHEN coalesce(title, '') <> '' THEN 'title' WHEN coalesce(url, '') <> '' THEN 'url' END AS provider,
@@ -671,3 +672,65 @@ def star_join(spark: SparkSession, d: str) -> DataFrame:
     j = c.join(o, c.c_custkey == o.o_custkey).join(l, l.l_orderkey == o.o_orderkey).join(s, (l.l_suppkey == s.s_suppkey) & (c.c_nationkey == s.s_nationkey))
     j = j.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query(f"""SELECT traj_id, {_strip(f"array_to_string(list_filter(list_transform(list_filter(messages, lambda m: m.role = 'user'), lambda m: coalesce(array_to_string(list_transform(list_filter(m.content, lambda p: p.type = 'text' AND p.text IS NOT NULL), lambda p: p.text), chr(10)), '')), lambda x: x <> ''), chr(10))")} AS question FROM trajectories""")
+def question_text(spark: SparkSession, d: str) -> DataFrame:
+    """The question of each trajectory."""
+    return table(spark, d, "trajectories").select("traj_id", F.coalesce(D.question_text(F.col("messages")), F.lit("")).alias("question"))
+
+
+@query("""SELECT traj_id, coalesce(array_to_string(list_transform(list_filter(list_filter(messages, lambda m: m.role = 'assistant' AND m.content IS NOT NULL)[-1].content, lambda p: p.type = 'text' AND p.text IS NOT NULL), lambda p: p.text), ''), '') AS text FROM trajectories""")
+def last_assistant_text(spark: SparkSession, d: str) -> DataFrame:
+    """The last words of the assistant in each trajectory."""
+    return table(spark, d, "trajectories").select("traj_id", D.last_assistant_text(F.col("messages")).alias("text"))
+
+
+@query(f"{_CALLS}, n AS (SELECT traj_id, name, count(*) AS n FROM c GROUP BY ALL) SELECT traj_id, name, n AS calls FROM n")
+def call_counts_map(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of each tool, gathered in a map per trajectory and unfolded again."""
+    n = C.calls(table(spark, d, "trajectories")).groupBy("traj_id", "name").agg(F.count("*").alias("n"))
+    m = n.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("m"))
+    return m.select("traj_id", F.explode("m").alias("name", "calls"))
+
+
+@query(f"""{_CALLS} SELECT coalesce(regexp_extract(json_extract_string(a, '$.url'), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') AS scheme, count(*) AS n FROM c WHERE json_extract_string(a, '$.url') IS NOT NULL GROUP BY 1""")
+def url_schemes(spark: SparkSession, d: str) -> DataFrame:
+    """Schemes of the addresses in calls; none for names of images."""
+    u = C.calls(table(spark, d, "trajectories")).select(F.get_json_object("arguments", "$.url").alias("u")).where("u is not null")
+    return u.groupBy(F.when(D.has_scheme(F.col("u")), I.scheme(F.col("u"))).otherwise("").alias("scheme")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT cache_id, coalesce(nullif(regexp_replace(coalesce(value, ''), '^\\s+|\\s+$', '', 'g'), ''), left(cache_key, 4000)) AS text FROM tool_cache WHERE namespace = 'caption'")
+def summary_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The value of each caption entry, or its key where there is none."""
+    return table(spark, d, "tool_cache").where("namespace = 'caption'").select("cache_id", D.summary_or_text(F.col("value"), F.col("cache_key")).alias("text"))
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY turn) AS pos, turn AS asked FROM turns WHERE role = 'assistant'), r AS (SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY turn) AS pos, turn AS answered FROM turns WHERE role = 'tool')
+    SELECT coalesce(u.traj_id, r.traj_id) AS traj_id, coalesce(u.pos, r.pos) AS pos, asked, answered, CASE WHEN u.pos IS NULL OR r.pos IS NULL THEN 'lengths differ' END AS error FROM u FULL JOIN r ON u.traj_id = r.traj_id AND u.pos = r.pos""")
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns and tool results of a trajectory by position."""
+    t = C.turns(table(spark, d, "trajectories"))
+    pos = F.row_number().over(Window.partitionBy("traj_id").orderBy("turn")).cast("bigint")
+    a = t.where("role = 'assistant'").select("traj_id", pos.alias("pos"), F.col("turn").alias("asked"))
+    r = t.where("role = 'tool'").select("traj_id", pos.alias("pos"), F.col("turn").alias("answered"))
+    return D.zip_positions(a, r, ["traj_id", "pos"])
+
+
+@query()
+def scrub_json(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments of calls as they go to a log, scrubbed at any depth."""
+    return C.calls(table(spark, d, "trajectories")).select("traj_id", "turn", D.scrub_json(F.col("arguments")).alias("arguments"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS begin, event_type, count(*) AS events FROM events GROUP BY ALL""")
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each day and type, counted by a stream over the table's files that ends when all are read; a row per window and type is kept."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d.rstrip('/')}/events.parquet*")
+    name = f"streamed_{abs(hash((d, id(stream))))}"
+    w = E.windowed(stream, "ts", "1 hour", "1 day", by=["event_type"])
+    q = w.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "events")
