@@ -194,7 +194,8 @@ def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float =
     )
     # sources without terminators: words and line ends of these sources only, without the last word of each open text
     terse = documents.select(F.coalesce("source", F.lit("")).alias("src"), "text").join(source.where("not is_prose").select("src"), "src")
-    line = terse.where("trim(text) <> ''").select("src", F.posexplode(F.reverse(F.split(F.lower(F.trim("text")), r"[\r\n]+| -> "))).alias("back", "line"))
+    bare = F.regexp_replace(F.lower("text"), r"\s*(?:…|\.{3}|\[[^\]\n]{1,20}\]|\([^)\n]{1,12}\))?\s*$", "")  # without the mark of a cut
+    line = terse.where("text is not null").select("src", F.posexplode(F.reverse(F.split(bare, r"[\r\n]+| -> "))).alias("back", "line"))
     words = (
         line.select("src", "back", F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+)"), 1).alias("w"))
         .select("src", "back", F.posexplode("w").alias("at", "word"), F.size("w").alias("k"))
