@@ -42,6 +42,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_report(table(spark, sf_dir, "sft_messages"))
 
 
+def p3_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices and fillers that recur, with the number of messages and sources."""
+    return residue.stock_texts(table(spark, sf_dir, "sft_messages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traj_id, group_id of each trajectory of a group of two or more."""
     return related.related_groups(table(spark, sf_dir, "trajectories"), table(spark, sf_dir, "page_nodes"), table(spark, sf_dir, "hub_pages"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_stock": p3_stock,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p5_found": p5_found,

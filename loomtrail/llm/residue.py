@@ -1,8 +1,7 @@
 """Problem 3: template residue, filler, error pages and script notices in messages.
 
 Texts are masked (numbers, addresses, dates), and whole texts that carry a cue are grouped by the exact hash of their
-masked form across sources. Each group is classified once, by phrase rules, or as a stock text if a weak cue meets
-wide recurrence. Slots are found by their syntax; a sign that may be a slot or a word (null, undefined, a rule of
+masked form across sources. Each group is classified once, by phrase rules. Slots are found by their syntax; a sign that may be a slot or a word (null, undefined, a rule of
 underscores) counts where it stands in a context in which sure slots stand elsewhere in the corpus.
 """
 
@@ -220,12 +219,8 @@ def read_slots(text: str) -> tuple[bool, list[str], list[str]]:
 _READ = "slot boolean, sure array<string>, maybe array<string>, masked string"
 
 
-def residue(messages: DataFrame, least_recurrence: int = 3, least_context: int = 2) -> DataFrame:
-    """(message_id, reason) of the messages to exclude; reason is slot, error, script or filler (the first of them in this order of the alphabet).
-
-    Null contents, null and empty texts are no cases. Every text part of a message is read as a whole; redelivered
-    messages each get their row. An empty table gives none. Columns beyond message_id, role, name and content don't matter.
-    """
+def _seen(messages: DataFrame) -> DataFrame:
+    """(message_id, src, text, slot, sure, maybe, masked, h) of each text part with a slot, a sign of one, or a cue of a notice."""
 
     @F.pandas_udf(_READ)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -233,21 +228,36 @@ def residue(messages: DataFrame, least_recurrence: int = 3, least_context: int =
             rows = []
             for x in s:
                 slot, sure, maybe = read_slots(x)
-                m = mask(x)
-                rows.append((slot, sure, maybe, m if not slot and (_CUE.search(m) or len(set(re.findall(r"[^\W\d_]+", m[:400]))) <= 6) else None))
+                m = None if slot else mask(x)
+                rows.append((slot, sure, maybe, m if m and (_CUE.search(m) or len(set(re.findall(r"[^\W\d_]+", m[:400]))) <= 6) else None))
             yield pd.DataFrame(rows, columns=["slot", "sure", "maybe", "masked"])
 
+    parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p"))
+    parts = parts.select("message_id", "src", F.col("p.text").alias("text")).where("text is not null and trim(text) <> ''")
+    seen = parts.withColumn("r", read("text")).select("message_id", "src", "text", "r.*").where("slot or size(maybe) > 0 or masked is not null")
+    return materialize(seen.withColumn("h", F.xxhash64("masked")), "residue")
+
+
+def _groups(seen: DataFrame) -> DataFrame:
+    """(h, messages, sources, text, kind) of each group of one masked form across sources; one text tells the kind of all, '' for none. Sources are counted in two steps, so that a hot form is no long list anywhere."""
+
     @F.pandas_udf("string")
     def kind(s: pd.Series) -> pd.Series:
         return s.map(whole_kind)
 
-    parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p")).select("message_id", "src", F.col("p.text").alias("text"))
-    seen = parts.where("text is not null and trim(text) <> ''").withColumn("r", read("text"))
-    seen = seen.select("message_id", "src", "text", "r.*").where("slot or size(maybe) > 0 or masked is not null")
-    seen = materialize(seen.withColumn("h", F.xxhash64("masked")), "residue")
-    # groups of exact masked forms across sources; each is classified once, by one of its texts
-    groups = seen.where("masked is not null").groupBy("h").agg(F.count("*").alias("n"), F.size(F.collect_set("src")).alias("sources"), F.min("text").alias("text"))
-    judged = groups.withColumn("kind", kind("text")).where("kind <> ''").select("h", "kind")
+    by_source = seen.where("masked is not null").groupBy("h", "src").agg(F.count("*").alias("n"), F.min("text").alias("text"))
+    groups = by_source.groupBy("h").agg(F.sum("n").alias("messages"), F.count("*").alias("sources"), F.min("text").alias("text"))
+    return groups.withColumn("kind", kind("text"))
+
+
+def residue(messages: DataFrame, least_context: int = 2) -> DataFrame:
+    """(message_id, reason) of the messages to exclude; reason is error, filler, script or slot (the first of them in this order).
+
+    Null contents, null and empty texts are no cases. Every text part of a message is read as a whole; redelivered
+    messages each get their row. An empty table gives none. Columns beyond message_id, role, name and content don't matter.
+    """
+    seen = _seen(messages)
+    judged = _groups(seen).where("kind <> ''").select("h", "kind")
     whole = seen.where("masked is not null").select("message_id", "h").join(judged, "h").select("message_id", F.col("kind").alias("reason"))
     slots = seen.where("slot").select("message_id", F.lit("slot").alias("reason"))
     contexts = seen.where("slot").select(F.explode("sure").alias("c")).groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least_context)
@@ -255,6 +265,11 @@ def residue(messages: DataFrame, least_recurrence: int = 3, least_context: int =
     return whole.unionByName(slots).unionByName(maybe).groupBy("message_id").agg(F.min("reason").alias("reason"))
 
 
+def stock_texts(messages: DataFrame, least_messages: int = 2) -> DataFrame:
+    """(kind, text, messages, sources) of the notices and fillers that recur: a text of each group of one masked form, and in how many messages and sources it is met."""
+    return _groups(_seen(messages)).where((F.col("kind") != "") & (F.col("messages") >= least_messages)).select("kind", "text", "messages", "sources")
+
+
 def residue_report(messages: DataFrame) -> DataFrame:
     """(source, reason, messages) over all messages; source is the tool's name, or the role."""
     src = messages.select("message_id", F.coalesce("name", "role", F.lit("")).alias("source"))
