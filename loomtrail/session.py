@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,23 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtrail_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="loomtrail-ship-"), "loomtrail.zip")  # on the driver alone, which serves it
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("loomtrail", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._loomtrail_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,6 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores, for work that weighs more than a shuffle of its input. A table of many files or row groups stays as it is read; a small single file is dealt out."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
@@ -46,6 +66,7 @@ def spread(df: DataFrame) -> DataFrame:
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
