@@ -1,4 +1,4 @@
-"""References to images, and the geometry of image tools. Pixels are out of scope: no imaging library is at hand."""
+"""References to images, and the geometry of image tools. Their pixels are in pixels.py."""
 
 from __future__ import annotations
 
