@@ -1,8 +1,9 @@
 """Problem 3: template residue, filler, error pages and script notices in messages.
 
 Texts are masked (numbers, addresses, dates), and whole texts that carry a cue are grouped by the exact hash of their
-masked form across sources. Each group is classified once, by phrase rules. Slots are found by their syntax; a sign that may be a slot or a word (null, undefined, a rule of
-underscores) counts where it stands in a context in which sure slots stand elsewhere in the corpus.
+masked form across sources. Each group is classified once, by phrase rules. Slots are found by their syntax; a sign
+that may be a slot or a word (null, undefined, a rule of underscores) counts where it stands in a context in which sure
+slots stand elsewhere in the corpus.
 """
 
 from __future__ import annotations
@@ -109,6 +110,7 @@ _SITE = re.compile(r"(?:#+ )?[A-ZÀ-Þ][\w'’-]*(?: (?:of |the |von )?[A-ZÀ-Þ
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _MASK_URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.\w[\w.]*")
 _MASK_DATE = re.compile(r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
+_MASK_STATUS = re.compile(r"(?<![\d.,:])[45]\d\d(?![\d.,:]?\d)")
 _MASK_NUM = re.compile(r"\d+(?:[.,:]\d+)*")
 _ERROR = re.compile("|".join(f"(?:{p})" for p in ERROR_PHRASES))
 _FILL = re.compile("|".join(f"(?:{p})" for p in FILLER_PHRASES))
@@ -120,8 +122,9 @@ _CUE = re.compile(
 
 
 def mask(text: str) -> str:
-    """The form that is hashed: lower case, addresses, dates and numbers masked, white space collapsed."""
-    t = _MASK_NUM.sub("0", _MASK_DATE.sub("@d", _MASK_URL.sub("@u", text.lower())))
+    """The form that is hashed: lower case, addresses, dates and numbers masked (what may be an HTTP error in a way of its own), white space collapsed."""
+    t = _MASK_STATUS.sub("@s", _MASK_DATE.sub("@d", _MASK_URL.sub("@u", text.lower())))
+    t = _MASK_NUM.sub("0", t)
     return " ".join(t.split())
 
 

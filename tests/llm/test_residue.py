@@ -65,6 +65,11 @@ def rows(*texts):
     return [(k, "tool", "visit", t if isinstance(t, list) or t is None else [("text", t)], 0, "x", "y") for k, t in enumerate(texts)]
 
 
+def test_mask():
+    assert R.mask("Error 404 on 2020-01-02 at https://x.y/z, 1,500 times") == "error @s on @d at @u 0 times"
+    assert R.mask("gone [410]") != R.mask("gone [123]") and R.mask("Lock 1") == R.mask("lock  22")
+
+
 def test_messages(spark):
     df = spark.createDataFrame(
         rows("The image shows {{x}}.", "The image shows {{y}}.", "The image shows null.", "The answer was left null by him.", None, [], [("text", None), ("image", None)], "", [("text", "Good text."), ("text", "Page not found")], "Page not found", "Page not found", "word " * 50_000 + "{{x}}", "Real words stand here. " * 8000),
