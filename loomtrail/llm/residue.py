@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,7 @@ _SLOT = re.compile(
     rf"|\${_X}\$|%\({_X}\)[sdf]|(?<![\d%\w])%[sd](?!\w)|(?<![\d%\w])%{_X}%(?!\w)|@@{_X}@@|\[\[{_X}\]\]|\[(?:insert|enter|add) [^\[\]\n]{{1,40}}(?: here)?\]"
     rf"|\[(?!SIC\]|UNREADABLE\]|INAUDIBLE\])[A-Z][A-Z_ ]*[A-Z](?:[_ ]?\d)?\]|\[object Object\]|<<{_X}>>|<TBD>|\(TODO:? [^()\n]{{1,40}}\)|(?<!~)~{_X}~(?!~)|(?<!\w)__[A-Za-z]\w*?__(?!\w)"
 )
+_CLOSING = re.compile(r"</([A-Za-z][\w-]*)")
 _ANGLE = re.compile(rf"<({_X})>")
 _MAYBE = re.compile(r"\b(?:undefined|null|NaN|TBD)\b|(?<!_)_{3,}(?!_)|\$\d(?![\d.,]|\w)")
 _SITE = re.compile(r"(?:#+ )?[A-ZÀ-Þ][\w'’-]*(?: (?:of |the |von )?[A-ZÀ-Þ0-9][\w'’-]*){0,4}")
@@ -128,6 +130,28 @@ def mask(text: str) -> str:
     return " ".join(t.split())
 
 
+#: Literals of which a text holds one if a pattern can match in it: a cheap look before the dear one.
+_SLOT_SIGNS = ("{", "$", "%", "@@", "[", "<<", "<TBD>", "(TODO", "~", "__", "undefined", "null", "NaN", "TBD")
+_CUE_SIGNS = [
+    "script", "error", "erro", "erreur", "ошибк", "错误", "not found", "found on", "looking for", "working", "time", "denied", "blocked", "forbidden", "gone", "available", "human",
+    "browser", "went wrong", "maintenance", "expired", "busy", "request", "gateway", "gefunden", "existiert", "encontrada", "introuvable", "refusé", "disponible", "найдена", "不存在",
+    "certificate", "login", "unreachable", "upstream", "todo", "pending", "to be", "your content", "insert", "sample", "dummy", "placeholder", "enter a", "body text", "test", "exemple",
+    "ejemplo", "exemplo", "steht später", "填写", "tbd", "n/a", "lorem", "ipsum", "dolor",
+]
+_CUES = ahocorasick.Automaton()
+for _w in _CUE_SIGNS:
+    _CUES.add_word(_w, 1)
+_CUES.make_automaton()
+
+
+def may_be_notice(text: str) -> bool:
+    """Whether a text may be a notice or filler as a whole: it holds a cue, or hardly any different words."""
+    low = text.lower()
+    if len(set(low[:400].split())) <= 12 and len(set(re.findall(r"[^\W\d_]+", low[:400]))) <= 6:
+        return True
+    return next(_CUES.iter(low), None) is not None and bool(_CUE.search(low))
+
+
 def _mash(words: list[str], text: str) -> bool:
     """Letters struck at random: lower case only, hardly any vowel, long runs of consonants."""
     letters = "".join(words)
@@ -191,11 +215,12 @@ def _context(t: str, start: int, end: int) -> str:
 
 def read_slots(text: str) -> tuple[bool, list[str], list[str]]:
     """Whether the text holds a sure slot; the contexts of its sure slots; the contexts of what may be one."""
-    if not re.search(r"[{<$%@\[(~_]|undefined|null|NaN|TBD", text):
+    signs = any(x in text for x in _SLOT_SIGNS)
+    if not signs and "<" not in text:
         return False, [], []
-    t = _CODE.sub(lambda m: " " * len(m.group()), text)
+    t = _CODE.sub(lambda m: " " * len(m.group()), text) if "`" in text else text
     sure, maybe = [], []
-    for m in _SLOT.finditer(t):
+    for m in _SLOT.finditer(t) if signs else ():
         s, e = m.span()
         head = t[:s]
         if head.count("{") > head.count("}") and not re.search(r'"[^"{}\n]*$', head):
@@ -203,15 +228,15 @@ def read_slots(text: str) -> tuple[bool, list[str], list[str]]:
         if s and e < len(t) and t[s - 1] in "\"“'‘" and t[e] in "\"”'’" and re.search(r"\w\s$", t[: s - 1]):
             continue  # quoted by the sentence around it
         sure.append(_context(t, s, e))
-    closed = set(re.findall(r"</([A-Za-z][\w-]*)", t))
-    for m in _ANGLE.finditer(t):
+    closed = set(_CLOSING.findall(t)) if "</" in t else set()
+    for m in _ANGLE.finditer(t) if "<" in t else ():
         name = m.group(1)
         if name.lower() in FORMAT_TAGS or name.lower() in HTML_TAGS or name in closed or t[m.start() - 1 : m.start()] == "<":
             continue
         if re.match(r"[a-z][\w-]* [\w-]+ ?=", name):
             continue
         sure.append(_context(t, *m.span()))
-    for m in _MAYBE.finditer(t):
+    for m in _MAYBE.finditer(t) if signs else ():
         maybe.append(_context(t, *m.span()))
     whole = t.strip(" .!\n\t")
     if _MAYBE.fullmatch(whole):
@@ -231,8 +256,7 @@ def _seen(messages: DataFrame) -> DataFrame:
             rows = []
             for x in s:
                 slot, sure, maybe = read_slots(x)
-                m = None if slot else mask(x)
-                rows.append((slot, sure, maybe, m if m and (_CUE.search(m) or len(set(re.findall(r"[^\W\d_]+", m[:400]))) <= 6) else None))
+                rows.append((slot, sure, maybe, mask(x) if not slot and may_be_notice(x) else None))
             yield pd.DataFrame(rows, columns=["slot", "sure", "maybe", "masked"])
 
     parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p"))
