@@ -259,6 +259,7 @@ def _seen(messages: DataFrame) -> DataFrame:
                 rows.append((slot, sure, maybe, mask(x) if not slot and may_be_notice(x) else None))
             yield pd.DataFrame(rows, columns=["slot", "sure", "maybe", "masked"])
 
+    read = read.asNondeterministic()  # else it would be run once for the filter and once more for the columns
     parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p"))
     parts = parts.select("message_id", "src", F.col("p.text").alias("text")).where("text is not null and trim(text) <> ''")
     seen = parts.withColumn("r", read("text")).select("message_id", "src", "text", "r.*").where("slot or size(maybe) > 0 or masked is not null")
