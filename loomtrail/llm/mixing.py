@@ -125,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
     listed = F.broadcast(targets.where("source is not null").select("source"))  # at most 10,000 rows, as checked
     d = documents.where("source is not null and text is not null").join(listed, "source")
     d = spread(d.select("doc_id", "source", "lang", "page_title", "text")).select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("page_title")).alias("topic"), token_count(F.col("text"), path).alias("tokens"))
-    d = materialize(d.where("tokens > 0"), "counted")
+    d = materialize(d, "counted").where("tokens > 0")  # filtered behind the table: a filter before it would count twice
     # sources x 677 languages x 7 topics at most
     cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values(["source", "lang", "topic"]).reset_index(drop=True)
     available = {s: float(cells.loc[cells["source"] == s, "tokens"].sum()) for s in share}
