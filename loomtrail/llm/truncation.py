@@ -137,6 +137,7 @@ def endings(documents: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([read_ending(x) for x in s], columns=["state", "form", "n", "last", "prose"])
 
+    read = read.asNondeterministic()  # else a filter on its result would run it a second time
     e = spread(documents.select("doc_id", "source", "text")).withColumn("e", read("text"))
     return e.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.xxhash64("text").alias("h"), "e.*")
 
