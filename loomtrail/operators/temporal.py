@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(at: Column) -> Column:
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
+
+
+def from_micros(m: Column) -> Column:
+    """The time without a zone of micros()."""
+    return F.timestamp_add("MICROSECOND", m, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def asof(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
     """left with the values of the last right row at or before each left row of the same key: one union, one sort; no join."""
     r = F.struct(right_at, *values)
@@ -26,6 +36,6 @@ def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: st
 def sessions(events: DataFrame, by: str, at: str, gap_seconds: int) -> DataFrame:
     """(by, session, begin, end, events): runs of events with gaps of at most gap_seconds."""
     w = Window.partitionBy(by).orderBy(at)
-    new = F.when(F.unix_micros(F.col(at).cast("timestamp")) - F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
+    new = F.when(micros(F.col(at)) - F.lag(micros(F.col(at))).over(w) <= gap_seconds * 1_000_000, 0).otherwise(1)
     s = events.withColumn("_n", new).withColumn("session", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy(by, "session").agg(F.min(at).alias("begin"), F.max(at).alias("end"), F.count("*").alias("events"))

@@ -619,8 +619,8 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events of each day and type."""
     e = table(spark, d, "events")
-    g = e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("begin"), "event_type", "events", "value")
+    g = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    return g.select(F.col("w.start").alias("begin"), "event_type", "events", "value")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
@@ -730,7 +730,8 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d.rstrip('/')}/events.parquet*")
     name = f"streamed_{abs(hash((d, id(stream))))}"
-    w = E.windowed(stream, "ts", "1 hour", "1 day", by=["event_type"])
+    # a watermark needs a zone: the times are read as UTC and written back, whatever the session's zone is
+    w = E.windowed(stream.withColumn("ts", F.timestamp_micros(X.micros(F.col("ts")))), "ts", "1 hour", "1 day", by=["event_type"])
     q = w.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "events")
+    return spark.table(name).select(X.from_micros(F.unix_micros("begin")).alias("begin"), "event_type", "events")
