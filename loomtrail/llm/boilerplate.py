@@ -12,12 +12,11 @@ own title, headings, paragraphs, lists, captions and facts, and lists of links t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
@@ -81,7 +80,7 @@ def _h(s: str) -> int:
 
 
 def read_page(value: str) -> tuple[int | None, list[tuple]]:
-    """The site key of a page (None if nothing tells it) and its lines: number, kind, masked token, token without names, alone between body lines."""
+    """The site key of a page (None if nothing tells it) and its lines: number, kind, masked token, token without names, alone between body lines, line with its numbers."""
     lines = [(k, x.strip()) for k, x in enumerate(value.split("\n"), 1) if x.strip()]
     kinds = [line_kind(x) for _, x in lines]
     bare = [_BULLET.sub("", _HASH.sub("", x)) for _, x in lines]
@@ -111,10 +110,19 @@ def read_page(value: str) -> tuple[int | None, list[tuple]]:
     for k, (no, x) in enumerate(lines):
         m1 = ("menu " if k in menu else "") + (bare[k] if kinds[k] in (FACT, ITEM) else _NUM.sub("0", bare[k]))  # a word of the menu plays another role than the same word as a heading
         alone = kinds[k] == SHORT and 0 < k < len(lines) - 1 and kinds[k - 1] in body and kinds[k + 1] == PARA
-        out.append((no, kinds[k], _h(m1), _h(_form(m1) if kinds[k] in (PARA, SEP) else m1), alone))
+        h1 = _h(m1)
+        out.append((no, kinds[k], h1, _h(_form(m1) if kinds[k] in (PARA, SEP) else m1), alone, _h(bare[k]) if _NUM.search(bare[k]) else h1))
     return (None if key is None else _h(key)), out
 
 
+def _tokens(lines: list[tuple]) -> list[dict]:
+    """The tokens of a page: how often each stands in it, the range of its lines with their numbers (one value if they are alike), whether it is a fact or an item."""
+    out: dict[tuple, dict] = {}
+    for _, kind, h1, h2, _, exact in lines:
+        t = out.setdefault((h1, h2), {"h1": h1, "h2": h2, "times": 0, "low": exact, "high": exact, "body": False})
+        t["times"] += 1
+        t["low"], t["high"], t["body"] = min(t["low"], exact), max(t["high"], exact), t["body"] or kind in (FACT, ITEM)
+    return list(out.values())
 
 
 def _form(token: str) -> str:
@@ -195,7 +203,13 @@ def main_lines(value: str, flags: list[tuple[int, bool, bool]]) -> list[int]:
     return out
 
 
-def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5) -> DataFrame:
+def site_classes(valid: DataFrame, least_tokens: int) -> DataFrame:
+    """valid(site, h1, h2, support, vector, ...) with the class of each token: its number of tokens, and whether it is large, of least_tokens or more."""
+    w = Window.partitionBy("site", "vector", "support")
+    return valid.withColumn("tokens", F.count("*").over(w)).withColumn("large", F.col("tokens") >= least_tokens)
+
+
+def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5, least_tokens: int = 3) -> DataFrame:
     """(cache_id, line_no) of each non-blank line of an entry of namespace page that isn't main body.
 
     A token's class is valid on a site of least_pages pages or more if it covers site_share of them; a form (the token
@@ -205,18 +219,17 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
     """
     pages = cache.where("namespace = 'page' and trim(value) <> ''").select("cache_id", "value", F.xxhash64("value").alias("vh"), F.length("value").alias("vl"))
     texts = pages.groupBy("vh", "vl").agg(F.min("cache_id").alias("page"))
-    schema = "site bigint, lines array<struct<no:int,kind:int,h1:bigint,h2:bigint,alone:boolean>>, tokens array<struct<h1:bigint,h2:bigint,times:int>>"
+    schema = "site bigint, lines array<struct<no:int,kind:int,h1:bigint,h2:bigint,alone:boolean>>, tokens array<struct<h1:bigint,h2:bigint,times:int,low:bigint,high:bigint,body:boolean>>"
 
     @F.pandas_udf(schema)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = [read_page(x) for x in s]
-            counts = [Counter((x[2], x[3]) for x in r[1]) for r in rows]
             yield pd.DataFrame(
                 {
                     "site": pd.Series([r[0] for r in rows], dtype="Int64"),
                     "lines": [[dict(zip(("no", "kind", "h1", "h2", "alone"), x)) for x in r[1]] for r in rows],
-                    "tokens": [[{"h1": a, "h2": b, "times": n} for (a, b), n in c.items()] for c in counts],
+                    "tokens": [_tokens(r[1]) for r in rows],
                 }
             )
 
@@ -226,8 +239,11 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
     counted = one.where("site is not null").select("site", "page", F.explode("tokens").alias("t")).select("site", "page", "t.*")
     sites = one.where("site is not null").groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     # the occurrence vector as an order-free fingerprint, so that no list of a site's pages is ever held
-    vectors = counted.groupBy("site", "h1", "h2").agg(F.count("*").alias("support"), F.sum(F.expr("cast(xxhash64(page, times) as decimal(38,0))")).alias("vector"))
+    vectors = counted.groupBy("site", "h1", "h2").agg(
+        F.count("*").alias("support"), F.sum(F.expr("cast(xxhash64(page, times) as decimal(38,0))")).alias("vector"), (F.min("low") == F.max("high")).alias("fixed"), F.bool_or("body").alias("body")
+    )
     classes = vectors.join(sites, "site").withColumn("valid", F.expr(f"support >= {site_share} * pages"))
+    grouped = site_classes(classes.where("valid"), least_tokens)
     on_site = classes.groupBy("site", "h2").agg(F.max("valid").alias("valid"), F.max(F.col("support") / F.col("pages")).alias("share"))
     template = (
         on_site.groupBy("h2")
@@ -244,12 +260,14 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
     template = template.unionByName(spoken).distinct()
     own = own.select("h1", F.lit(True).alias("own"))
     heads = line.groupBy("h2").agg(F.count_if("alone").alias("n"), F.count("*").alias("of")).where("n >= 3 and n >= 0.3 * of").select("h2", F.lit(True).alias("head"))
-    forms = template.join(heads, "h2", "full_outer")
+    forms = template.join(heads.select("h2", "head"), "h2", "full_outer")
+    here = grouped.where("large").select("site", "h1", "h2", F.lit(True).alias("here"))
     flagged = (
         line.join(forms, "h2", "left")
         .join(own, "h1", "left")
-        .where("tpl or head or own")
-        .select("page", "no", F.expr("coalesce(tpl, false) or coalesce(own, false)").alias("tpl"), F.coalesce("head", F.lit(False)).alias("head"))
+        .join(here, ["site", "h1", "h2"], "left")
+        .where("tpl or head or own or here")
+        .select("page", "no", F.expr("coalesce(tpl, false) or coalesce(own, false) or coalesce(here, false)").alias("tpl"), F.coalesce("head", F.lit(False)).alias("head"))
     )
     by_page = flagged.groupBy("page").agg(F.collect_list(F.struct("no", "tpl", "head")).alias("flags"))
 

@@ -63,3 +63,27 @@ def test_page_seen_once(spark):
     text = "# Lake Pir\nThe lake is 20 metres deep and was drained in 1900.\n## History\nIt was first named in a letter of 1700.\nFig. 2. The lake near Kofell"
     df = spark.createDataFrame([(1, "page", "k", text, 0, 0, 0), (2, "page", "l", "x" * 200_000, 0, 0, 0)], SCHEMA)
     assert B.boilerplate_lines(df).count() == 0
+
+
+def site_pages(extra, count=20):
+    """Pages of one site; extra(k) are lines between the two paragraphs of page k."""
+    rows = []
+    for k in range(count):
+        words = ["gate", "roof", "wall", "mill", "dock"]
+        top = ["Map", "Jobs", "Visit", "News", f"# Tower {chr(65 + k)} {words[k % 5]}", f"The old {words[k % 5]} of {chr(65 + k)} was built by the {words[k // 5]} guild."]
+        lines = [*top, *extra(k), f"A {words[k // 5]} stands near {chr(65 + k)} since the {words[k % 5]} fell.", "Back to top"]
+        rows.append((k, "page", f"k{k}", "\n".join(lines), 0, 0, 0))
+    return rows
+
+
+def out_lines(spark, rows):
+    """The set of texts that are taken away on any page."""
+    text = {r[0]: r[3].split("\n") for r in rows}
+    return {text[x["cache_id"]][x["line_no"] - 1] for x in B.boilerplate_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_large_class_is_template_on_its_site(spark):
+    """Three lines that stand on the same 8 of 20 pages are a class; their forms alone, at 40 %, win no vote."""
+    box = ["Get our letter", "Your address here", "Send it weekly"]
+    got = out_lines(spark, site_pages(lambda k: box if k % 5 < 2 else []))
+    assert set(box) <= got and not any(x.startswith(("#", "The old", "A ")) for x in got)
