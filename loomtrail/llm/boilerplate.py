@@ -4,7 +4,8 @@ Template deduction by equivalence classes. A token is a line with its numbers ma
 (facts and list items keep theirs). Pages of one site (told by its
 navigation, or by the host of its links, as the cache holds no host) give each token an occurrence vector: how often it
 stands in each page. Tokens with the same vector form a class; a class that is frequent among the site's pages is valid
-and belongs to the site's template. Classes are nested by the pages they cover. Forms that are template wherever they
+and belongs to the site's template if it is large, or nested by the pages it covers in one that is and no slot by its
+looks (heading, fact, item, varying numbers). Forms that are template wherever they
 are met on well-covered sites are template on sites seen once, too. What the template leaves are the slots: the page's
 own title, headings, paragraphs, lists, captions and facts, and lists of links that a template line heads.
 """
@@ -203,17 +204,30 @@ def main_lines(value: str, flags: list[tuple[int, bool, bool]]) -> list[int]:
     return out
 
 
-def site_classes(valid: DataFrame, least_tokens: int) -> DataFrame:
-    """valid(site, h1, h2, support, vector, ...) with the class of each token: its number of tokens, and whether it is large, of least_tokens or more."""
+def site_classes(valid: DataFrame, counted: DataFrame, least_tokens: int) -> DataFrame:
+    """valid(site, h1, h2, support, pages, vector, ...) with the class of each token: tokens, its size; large, of least_tokens or more; nested, whether its pages all hold one outer class.
+
+    A class is outer if it is large or stands on every page of its site. Classes are met page by page, one token standing
+    for each, so that no list of a site's pages is ever held: a class is nested in an outer one of larger support if they
+    meet on as many pages as it has.
+    """
     w = Window.partitionBy("site", "vector", "support")
-    return valid.withColumn("tokens", F.count("*").over(w)).withColumn("large", F.col("tokens") >= least_tokens)
+    classes = valid.withColumn("tokens", F.count("*").over(w)).withColumn("first", F.row_number().over(w.orderBy("h1", "h2")) == 1)
+    classes = classes.withColumn("large", F.col("tokens") >= least_tokens).withColumn("outer", F.expr("large or support = pages"))
+    met = counted.select("site", "page", "h1", "h2").join(classes.where("first").select("site", "h1", "h2", "vector", "support", "large", "outer"), ["site", "h1", "h2"])
+    holds = met.where("outer").select("site", "page", F.col("vector").alias("holder"), F.col("support").alias("held"))
+    pairs = met.where("not large").join(holds, ["site", "page"]).where("held > support").groupBy("site", "vector", "support", "holder", "held").agg(F.count("*").alias("n"))
+    nested = pairs.where("n = support").select("site", "vector", "support", F.lit(True).alias("nested")).distinct()
+    return classes.join(nested, ["site", "vector", "support"], "left").withColumn("nested", F.coalesce("nested", F.lit(False)))
 
 
 def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5, least_tokens: int = 3) -> DataFrame:
     """(cache_id, line_no) of each non-blank line of an entry of namespace page that isn't main body.
 
-    A token's class is valid on a site of least_pages pages or more if it covers site_share of them; a form (the token
-    without its names) is template if its classes are valid on form_share of the well-covered sites that have it.
+    A token's class is valid on a site of least_pages pages or more if it covers site_share of them. Valid classes of
+    least_tokens tokens are template there, and smaller ones if they stand on every page or are nested in such a class,
+    and aren't headings, facts, items or lines with varying numbers. For what is seen too seldom on its own site, a form
+    (the token without its names) is template if its classes are valid on form_share of the well-covered sites that have it.
     Entries with one value are read once and give their lines to each cache_id. Null, empty and blank values and other
     namespaces give no lines; pages without a title keep all that no rule takes away. An empty table gives none.
     """
@@ -243,7 +257,7 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
         F.count("*").alias("support"), F.sum(F.expr("cast(xxhash64(page, times) as decimal(38,0))")).alias("vector"), (F.min("low") == F.max("high")).alias("fixed"), F.bool_or("body").alias("body")
     )
     classes = vectors.join(sites, "site").withColumn("valid", F.expr(f"support >= {site_share} * pages"))
-    grouped = site_classes(classes.where("valid"), least_tokens)
+    grouped = site_classes(classes.where("valid"), counted, least_tokens)
     on_site = classes.groupBy("site", "h2").agg(F.max("valid").alias("valid"), F.max(F.col("support") / F.col("pages")).alias("share"))
     template = (
         on_site.groupBy("h2")
@@ -259,9 +273,12 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
     spoken = own.groupBy("h2").agg(F.countDistinct("site").alias("n")).where("n >= 3").select("h2", F.lit(True).alias("tpl"))
     template = template.unionByName(spoken).distinct()
     own = own.select("h1", F.lit(True).alias("own"))
-    heads = line.groupBy("h2").agg(F.count_if("alone").alias("n"), F.count("*").alias("of")).where("n >= 3 and n >= 0.3 * of").select("h2", F.lit(True).alias("head"))
+    heads = line.groupBy("h2").agg(F.count_if("alone").alias("n"), F.count("*").alias("of")).where("n >= 3 and n >= 0.3 * of").select("h2", F.lit(True).alias("head"), F.expr("n >= 0.66 * of").alias("heading"))
     forms = template.join(heads.select("h2", "head"), "h2", "full_outer")
-    here = grouped.where("large").select("site", "h1", "h2", F.lit(True).alias("here"))
+    # a smaller class nested in an outer one is an option of the template, unless it looks like a slot: a heading, fact or item, or a line whose numbers differ
+    headings = heads.where("heading").select("h2")
+    small = grouped.where("not large and (nested or outer) and fixed and not body").join(headings, "h2", "left_anti")
+    here = grouped.where("large").select("site", "h1", "h2").unionByName(small.select("site", "h1", "h2")).withColumn("here", F.lit(True))
     flagged = (
         line.join(forms, "h2", "left")
         .join(own, "h1", "left")

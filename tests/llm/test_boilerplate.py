@@ -87,3 +87,16 @@ def test_large_class_is_template_on_its_site(spark):
     box = ["Get our letter", "Your address here", "Send it weekly"]
     got = out_lines(spark, site_pages(lambda k: box if k % 5 < 2 else []))
     assert set(box) <= got and not any(x.startswith(("#", "The old", "A ")) for x in got)
+
+
+def test_small_class_is_template_on_its_site(spark):
+    """A line alone in its class, on 8 of 20 pages, is an option of the site's template; a heading, a fact or a numbered line isn't."""
+
+    def extra(k):
+        lines = ["Enter your address to subscribe", "- Kofell, 17"] if k % 5 < 2 else []
+        lines += ["History", f"The dock of {chr(65 + k)} kept a key of {chr(75 + k)}."] if k % 5 in (1, 2) else []
+        return lines + ([f"Route {k} north", "Material: oak"] if k % 5 in (2, 3) else [])
+
+    got = out_lines(spark, site_pages(extra))
+    assert "Enter your address to subscribe" in got
+    assert not any(x.startswith(("History", "Material", "Route", "The dock", "- Kofell", "#", "The old", "A ")) for x in got)
