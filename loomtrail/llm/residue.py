@@ -1,7 +1,7 @@
 """Problem 3: template residue, filler, error pages and script notices in messages.
 
-Texts are masked (numbers, addresses, dates), and whole texts that carry a cue are grouped by the exact hash of their
-masked form across sources. Each group is classified once, by phrase rules. Slots are found by their syntax; a sign
+Texts are masked (numbers, addresses, dates), and all whole texts are grouped by the exact hash of their masked form
+across sources. Each group is classified once, by phrase rules. Slots are found by their syntax; a sign
 that may be a slot or a word (null, undefined, a rule of underscores) counts where it stands in a context in which sure
 slots stand elsewhere in the corpus.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,10 +116,6 @@ _MASK_NUM = re.compile(r"\d+(?:[.,:]\d+)*")
 _ERROR = re.compile("|".join(f"(?:{p})" for p in ERROR_PHRASES))
 _FILL = re.compile("|".join(f"(?:{p})" for p in FILLER_PHRASES))
 _STATUS = re.compile(rf"(?:(?:http|error|status)?\s*(?:code\s*=?)?\s*#?\s*\b[45]\d\d\b\s*[-:|(\[]?\s*(?:message\s*=\s*)?(?:{STATUS_PHRASES})\s*[)\]]?)|(?:(?:{STATUS_PHRASES})\s*[\[(]\s*[45]\d\d\s*[\])])")
-_CUE = re.compile(
-    rf"{SCRIPT_WORDS}|error|erro\b|erreur|ошибк|错误|not found|found on|looking for|isn'?t working|timed? ?-?out|denied|blocked|forbidden|gone|unavailable|available|human|browser|went wrong|maintenance|expired|busy|request|gateway|gefunden|existiert|encontrada|introuvable|refusé|disponible|найдена|不存在|certificate|login|unreachable|upstream"
-    r"|todo|pending|to be|your content|insert|sample|dummy|placeholder|enter a|body text|test|exemple|ejemplo|exemplo|steht später|填写|tbd|n/a|lorem|ipsum|dolor"
-)
 
 
 def mask(text: str) -> str:
@@ -132,24 +127,6 @@ def mask(text: str) -> str:
 
 #: Literals of which a text holds one if a pattern can match in it: a cheap look before the dear one.
 _SLOT_SIGNS = ("{", "$", "%", "@@", "[", "<<", "<TBD>", "(TODO", "~", "__", "undefined", "null", "NaN", "TBD")
-_CUE_SIGNS = [
-    "script", "error", "erro", "erreur", "ошибк", "错误", "not found", "found on", "looking for", "working", "time", "denied", "blocked", "forbidden", "gone", "available", "human",
-    "browser", "went wrong", "maintenance", "expired", "busy", "request", "gateway", "gefunden", "existiert", "encontrada", "introuvable", "refusé", "disponible", "найдена", "不存在",
-    "certificate", "login", "unreachable", "upstream", "todo", "pending", "to be", "your content", "insert", "sample", "dummy", "placeholder", "enter a", "body text", "test", "exemple",
-    "ejemplo", "exemplo", "steht später", "填写", "tbd", "n/a", "lorem", "ipsum", "dolor",
-]
-_CUES = ahocorasick.Automaton()
-for _w in _CUE_SIGNS:
-    _CUES.add_word(_w, 1)
-_CUES.make_automaton()
-
-
-def may_be_notice(text: str) -> bool:
-    """Whether a text may be a notice or filler as a whole: it holds a cue, or hardly any different words."""
-    low = text.lower()
-    if len(set(low[:400].split())) <= 12 and len(set(re.findall(r"[^\W\d_]+", low[:400]))) <= 6:
-        return True
-    return next(_CUES.iter(low), None) is not None and bool(_CUE.search(low))
 
 
 def _mash(words: list[str], text: str) -> bool:
@@ -248,7 +225,7 @@ _READ = "slot boolean, sure array<string>, maybe array<string>, masked string"
 
 
 def _seen(messages: DataFrame) -> DataFrame:
-    """(message_id, src, text, slot, sure, maybe, masked, h) of each text part with a slot, a sign of one, or a cue of a notice."""
+    """(message_id, src, text, slot, sure, maybe, masked, h) of each text part that isn't empty; masked and h are null where there is a sure slot."""
 
     @F.pandas_udf(_READ)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -256,13 +233,13 @@ def _seen(messages: DataFrame) -> DataFrame:
             rows = []
             for x in s:
                 slot, sure, maybe = read_slots(x)
-                rows.append((slot, sure, maybe, mask(x) if not slot and may_be_notice(x) else None))
+                rows.append((slot, sure, maybe, None if slot else mask(x)))
             yield pd.DataFrame(rows, columns=["slot", "sure", "maybe", "masked"])
 
     read = read.asNondeterministic()  # else it would be run once for the filter and once more for the columns
     parts = spread(messages.select("message_id", "name", "role", "content")).select("message_id", F.coalesce("name", "role", F.lit("")).alias("src"), F.explode("content").alias("p"))
     parts = parts.select("message_id", "src", F.col("p.text").alias("text")).where("text is not null and trim(text) <> ''")
-    seen = parts.withColumn("r", read("text")).select("message_id", "src", "text", "r.*").where("slot or size(maybe) > 0 or masked is not null")
+    seen = parts.withColumn("r", read("text")).select("message_id", "src", "text", "r.*")
     return materialize(seen.withColumn("h", F.xxhash64("masked")), "residue")
 
 

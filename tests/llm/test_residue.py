@@ -79,3 +79,10 @@ def test_messages(spark):
     assert got == {0: "slot", 1: "slot", 2: "slot", 8: "error", 9: "error", 10: "error", 11: "slot"}
     assert R.residue(df.limit(0)).count() == 0
     assert {(r["source"], r["reason"]): r["messages"] for r in R.residue_report(df).collect()} == {("visit", "slot"): 4, ("visit", "error"): 3}
+
+
+def test_every_text_is_classified(spark):
+    """Notices and filler without any usual word and with many different ones."""
+    texts = ["kq ewrfwkeqrlfdefqearr djwsjja srk f  kladrw es", "Minim sit sed aliqua ullamco labore nisi minim adipiscing elit.", "Database connection failed: too many clients\nTry reloading the page."]
+    df = spark.createDataFrame(rows(*texts, "The low mill of Kofell lost nine stones after the long flood."), SCHEMA)
+    assert {r["message_id"]: r["reason"] for r in R.residue(df).collect()} == {0: "filler", 1: "filler", 2: "error"}
