@@ -439,13 +439,13 @@ _NODES = "n AS (SELECT title, m.o AS outgoing, coalesce(m.i, -1) AS incoming FRO
     SELECT 3, count(*), count(DISTINCT s.title) FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst JOIN k c ON c.src = b.dst
     WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst) AND c.dst NOT IN (s.title, a.dst, b.dst)""")
 def two_to_four_hop_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Acyclic paths of two and three links from pages in the band, through pages that are no hubs."""
+    """Acyclic paths of two, three and four links from pages in the band, through pages that are no hubs."""
     n = _nodes(spark, d)
     known = n.where(F.col("incoming_links").between(0, N.HUB_CAP)).select(F.col("title").alias("dst"))
     links = N.edges(n).join(known, "dst", "left_semi")
     starts = n.where(N.seed_ok(F.col("incoming_links"))).select("title")
     out = None
-    for hops in (2, 3):
+    for hops in (2, 3, 4):
         p = N.paths(starts, links, hops).agg(F.count("*").alias("paths"), F.countDistinct(F.element_at("path", 1)).alias("starts")).select(F.lit(hops).alias("hops"), "paths", "starts")
         out = p if out is None else out.unionByName(p)
     return out

@@ -39,3 +39,17 @@ def test_column_pruning(spark, data_dir, name, table, columns):
 def test_pushed_filters(spark, data_dir):
     p = catalogue.QUERIES["link_extract"](spark, data_dir)._jdf.queryExecution().executedPlan().treeString()
     assert "EqualTo(namespace,page)" in p
+
+
+def test_paths_of_four_hops_by_brute_force(spark, tmp_path):
+    """two_to_four_hop_paths against plain Python, on a small graph with cycles."""
+    titles = ["Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir"]
+    out = {t: [titles[(k + d) % 6] for d in (1, 2, 3)][: 2 + k % 2] for k, t in enumerate(titles)}
+    rows = [(k, t, [(x, "near") for x in out[t]], 100 if k < 2 else 5, "x" * 300) for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id bigint, title string, outgoing array<struct<title:string,relation:string>>, incoming_links bigint, extract string").write.parquet(str(tmp_path / "page_nodes.parquet"))
+    want, paths = {}, [[t] for t in titles[:2]]
+    for hops in range(1, 5):
+        paths = [[*p, x] for p in paths for x in out[p[-1]] if x not in p]
+        want[hops] = (len(paths), len({p[0] for p in paths}))
+    got = {r["hops"]: (r["paths"], r["starts"]) for r in catalogue.QUERIES["two_to_four_hop_paths"](spark, str(tmp_path)).collect()}
+    assert got == {k: want[k] for k in (2, 3, 4)} and want[4][0] > 0
