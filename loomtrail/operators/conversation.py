@@ -102,7 +102,7 @@ def first_violation(messages: Column, tools: Column | None = None, images: Colum
 
     In this order of rules: messages; per message its role, content, calls outside assistant turns, and per call its id,
     tool and arguments; results against pending calls and their names; calls left over; a final answer; image parts
-    against images. A fold over the messages with the pending calls as its state.
+    against images. A fold over the messages with the pending calls as its state. The messages' wording is fixed.
     """
     pending_type = "array<struct<id:string,name:string>>"
     start = F.struct(

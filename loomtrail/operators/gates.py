@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The keys of a quality verdict.
 VERDICTS = ["answer_invariant", "unique_entity_path", "no_alias_leakage", "source_anchor_only", "visually_grounded", "needs_external_tools", "not_solved_by_one_reverse_image_search", "nontrivial"]
 BROADCAST_ROWS = 100_000
 
 
 def answer_reason(question: Column, answer: Column) -> Column:
     """Why a question and its answer are refused, null if they aren't; the first reason counts."""
+    # fixed values: the reasons
     bare = F.regexp_replace(T.fold(F.coalesce(answer, F.lit(""))), r"^[ .]+|[ .]+$", "")
     return (
         F.when((T.strip(question) == "") | (T.strip(answer) == ""), "empty question or answer")

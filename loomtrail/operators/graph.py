@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from .statistics import hop_count, hash_unit
 
 HUB_CAP, LEAST_IN, MOST_LINKS, MOST_CANDIDATES = 10_000, 50, 500, 40
@@ -33,19 +34,41 @@ def node_ok(incoming: Column, extract: Column, high: int = HUB_CAP, least_extrac
     return F.coalesce((incoming <= high) & (F.length(T.squeeze(extract)) >= least_extract), F.lit(False))
 
 
-def paths(starts: DataFrame, links: DataFrame, hops: int, fan_out: int = MOST_CANDIDATES) -> DataFrame:
-    """(path, relations): acyclic paths of exactly hops links from starts(title), following at most fan_out links of a node, the first by position. The cut is on the link table, once, before any join, so that no step can explode beyond fan_out per node."""
-    e = links.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("pos"))).where(F.col("_r") <= fan_out).select("src", "dst", "relation")
-    p = starts.select(F.array("title").alias("path"), F.array().cast("array<string>").alias("relations"), F.col("title").alias("end"))
-    for _ in range(hops):
-        n = e.select(F.col("src").alias("end"), "dst", "relation")
-        p = p.join(n, "end").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"), F.col("dst").alias("end"))
-    return p.select("path", "relations")
+def first_links(links: DataFrame, fan_out: int) -> DataFrame:
+    """(src, dst, relation): the first fan_out links of each node by position."""
+    return links.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("pos"))).where(F.col("_r") <= fan_out).select("src", "dst", "relation")
+
 
+def _further(p: DataFrame, e: DataFrame) -> DataFrame:
+    n = e.select(F.col("src").alias("end"), "dst", "relation")
+    return p.join(n, "end").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"), F.col("dst").alias("end"))
 
-def walks(starts: DataFrame, links: DataFrame, seed: str, low: int = 2, high: int = 4, candidates: int = MOST_CANDIDATES) -> DataFrame:
-    """(title, hops, path, complete): one acyclic walk from each start, with a weighted number of hops. A step tries links in hashed order, at most candidates of them. A walk that ends early stays, with complete false.
+
+def path_levels(starts: DataFrame, links: DataFrame, low: int, high: int, fan_out: int = MOST_CANDIDATES) -> dict[int, DataFrame]:
+    """Acyclic paths (path, relations, end) of low to high links from starts(title), by their number of links, following at most fan_out links of a node, the first by position.
+
+    The cut is on the link table, once, before any join, so that no step can explode beyond fan_out per node. The links,
+    and the paths of each number of links but the highest, are kept in the shared folder, and the next one goes on from there.
     """
+    e = materialize(first_links(links, fan_out), "links")
+    p = starts.select(F.array("title").alias("path"), F.array().cast("array<string>").alias("relations"), F.col("title").alias("end"))
+    out = {}
+    for hops in range(1, high + 1):
+        p = _further(p, e)
+        if low <= hops < high:
+            p = materialize(p, f"paths-{hops}")
+        if hops >= low:
+            out[hops] = p
+    return out
+
+
+def paths(starts: DataFrame, links: DataFrame, hops: int, fan_out: int = MOST_CANDIDATES) -> DataFrame:
+    """(path, relations): the acyclic paths of exactly hops links, see path_levels()."""
+    return path_levels(starts, links, hops, hops, fan_out)[hops].select("path", "relations")
+
+
+def walks(starts: DataFrame, links: DataFrame, seed: str, low: int = 2, high: int = 4) -> DataFrame:
+    """(title, hops, path, complete): one acyclic walk from each start, with a weighted number of hops. A step takes the first link in hashed order that leads to no page of the walk; as a walk has at most high pages, trying the first high + 1 links would do, so a limit on tries never tells. A walk that ends early stays, with complete false."""
     p = starts.select("title", hop_count(hash_unit(F.col("title"), seed), low, high).alias("hops"), F.array("title").alias("path"), F.lit(False).alias("dead"))
     for k in range(1, high + 1):
         go = p.where((F.col("hops") >= k) & ~F.col("dead"))

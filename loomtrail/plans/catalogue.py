@@ -432,12 +432,17 @@ _NODES = "n AS (SELECT title, m.o AS outgoing, coalesce(m.i, -1) AS incoming FRO
 
 
 @query(f"""WITH {_NODES}, x AS (SELECT title AS src, unnest(generate_series(0, len(outgoing) - 1)) AS pos, unnest(outgoing) AS o FROM n
-    ), e AS (SELECT src, o.title AS dst, min(pos) AS pos FROM (SELECT *, o.title AS t, trim(replace(lower(o.title), 'ß', 'ss')) AS l FROM x) WHERE {_VALID} GROUP BY 1, 2
-    ), k AS (SELECT e.src, e.dst FROM e JOIN n ON n.title = e.dst WHERE n.incoming BETWEEN 0 AND 10000), s AS (SELECT title FROM n WHERE incoming BETWEEN 50 AND 10000)
+    ), f AS (SELECT src, o.title AS dst, min(pos) AS pos FROM (SELECT *, o.title AS t, trim(replace(lower(o.title), 'ß', 'ss')) AS l FROM x) WHERE {_VALID} GROUP BY 1, 2
+    ), e AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos) <= {N.MOST_LINKS}
+    ), k AS (SELECT e.src, e.dst FROM e JOIN n ON n.title = e.dst WHERE n.incoming BETWEEN 0 AND 10000 QUALIFY row_number() OVER (PARTITION BY e.src ORDER BY e.pos) <= {N.MOST_CANDIDATES}
+    ), s AS (SELECT title FROM n WHERE incoming BETWEEN 50 AND 10000)
     SELECT 2 AS hops, count(*) AS paths, count(DISTINCT s.title) AS starts FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst)
     UNION ALL
     SELECT 3, count(*), count(DISTINCT s.title) FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst JOIN k c ON c.src = b.dst
-    WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst) AND c.dst NOT IN (s.title, a.dst, b.dst)""")
+    WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst) AND c.dst NOT IN (s.title, a.dst, b.dst)
+    UNION ALL
+    SELECT 4, count(*), count(DISTINCT s.title) FROM s JOIN k a ON a.src = s.title JOIN k b ON b.src = a.dst JOIN k c ON c.src = b.dst JOIN k g ON g.src = c.dst
+    WHERE a.dst <> s.title AND b.dst NOT IN (s.title, a.dst) AND c.dst NOT IN (s.title, a.dst, b.dst) AND g.dst NOT IN (s.title, a.dst, b.dst, c.dst)""")
 def two_to_four_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     """Acyclic paths of two, three and four links from pages in the band, through pages that are no hubs."""
     n = _nodes(spark, d)
@@ -445,9 +450,9 @@ def two_to_four_hop_paths(spark: SparkSession, d: str) -> DataFrame:
     links = N.edges(n).join(known, "dst", "left_semi")
     starts = n.where(N.seed_ok(F.col("incoming_links"))).select("title")
     out = None
-    for hops in (2, 3, 4):
-        p = N.paths(starts, links, hops).agg(F.count("*").alias("paths"), F.countDistinct(F.element_at("path", 1)).alias("starts")).select(F.lit(hops).alias("hops"), "paths", "starts")
-        out = p if out is None else out.unionByName(p)
+    for hops, p in N.path_levels(starts, links, 2, 4).items():
+        c = p.agg(F.count("*").alias("paths"), F.countDistinct(F.element_at("path", 1)).alias("starts")).select(F.lit(hops).alias("hops"), "paths", "starts")
+        out = c if out is None else out.unionByName(c)
     return out
 
 

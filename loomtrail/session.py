@@ -47,10 +47,17 @@ def ship(spark: SparkSession) -> None:
     sc._loomtrail_shipped = True
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine; local-cluster[...] isn't."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset and the master is local (tests). On a cluster an unset folder is an error: a machine's own folder would lose tables with the machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loomtrail-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d

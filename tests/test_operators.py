@@ -131,6 +131,10 @@ def test_image_references(spark):
     assert resolved(spark, "sandbox:/x", two) == (two[0], None) and resolved(spark, "data:x", two) == ("data:x", None)
     assert resolved(spark, "picture", two)[1] == "ambiguous image reference" and resolved(spark, "whatever", two[:1]) == (two[0], None)
     assert resolved(spark, "x", [])[1] == "no image to resolve"
+    for name in ("latestimage", "latest_image", "Latest image", "the new image", "photo_", "img_9"):
+        assert resolved(spark, name, two, True) == (name, None)
+    assert resolved(spark, "The Uploaded Photo 2.png", two, True) == (two[1], None) and resolved(spark, "an image-1", two, True) == (two[0], None) and resolved(spark, "input_image 2", two) == (two[1], None)
+    assert tuple(spark.createDataFrame([("Art-7", two, ["art-1", "art-7"])], "r string, i array<string>, d array<string>").select(I.resolve(F.col("r"), F.col("i"), True, F.col("d"))).first()[0]) == (two[1], None)
     assert resolved(spark, "latest image", two, True) == (two[1], None) and resolved(spark, "no idea", two, True) == ("no idea", None)
 
 

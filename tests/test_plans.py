@@ -53,3 +53,13 @@ def test_paths_of_four_hops_by_brute_force(spark, tmp_path):
         want[hops] = (len(paths), len({p[0] for p in paths}))
     got = {r["hops"]: (r["paths"], r["starts"]) for r in catalogue.QUERIES["two_to_four_hop_paths"](spark, str(tmp_path)).collect()}
     assert got == {k: want[k] for k in (2, 3, 4)} and want[4][0] > 0
+
+
+def test_paths_follow_the_first_links_of_a_hub(spark):
+    """A node with 60 links: 40 are followed, by position, unless the parameter says otherwise."""
+    from loomtrail.operators import graph as N
+
+    links = spark.createDataFrame([("hub", f"t{k}", "near", k) for k in range(60)], "src string, dst string, relation string, pos int")
+    starts = spark.createDataFrame([("hub",)], "title string")
+    assert {r["path"][1] for r in N.paths(starts, links, 1).collect()} == {f"t{k}" for k in range(40)}
+    assert N.paths(starts, links, 1, fan_out=60).count() == 60

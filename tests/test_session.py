@@ -2,6 +2,7 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtrail import session
@@ -40,3 +41,38 @@ def test_workers_get_the_package_without_a_path(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(session.__file__)))
     out = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "GOT [1]" in out.stdout, out.stderr[-2000:]
+
+
+class _Cluster:
+    """As much of a session as shared_dir() reads, on a cluster without a shared folder."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return _Cluster.conf
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(RuntimeError):
+        session.shared_dir(_Cluster)
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+
+
+def test_a_broken_part_of_llm_is_an_error(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__ as e
+
+    if importlib.util.find_spec("loomtrail.llm") is None:
+        assert e._llm() is None
+        return
+    monkeypatch.setattr(e.importlib, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("no regex")))
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()

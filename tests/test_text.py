@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,58 @@ def test_aliases_and_arguments(spark):
     assert call(spark, '<tool_call>{"name": "lens_scan", "arguments": {"image": "i", "x": 1}}</tool_call>')[:2] == ("image_search", {"url": "i"})
 
 
+def test_calls_in_normal_form(spark):
+    get = lambda x: call(spark, f"a <tool_call>{x}</tool_call>")[:2]
+    assert get('{"name": "web_search", "arguments": {"q": "the </tool_call> tag"}}') == ("web_search", {"q": "the </tool_call> tag"})
+    assert get('{"name": "crop", "arguments": {"url": "u", "x": [1, null]}}') == ("crop", {"image": "u", "x": [1, None]})
+    assert get('{"name": "ocr", "arguments": {"url": "u", "image": "i"}}') == ("layout_parsing", {"url": "u", "image": "i"})
+    assert get('{"name": "text_search", "arguments": {"topK": null}}') == ("text_search", {"q": None, "top_k": None})
+    assert get('{"name": "image_search"}') == ("image_search", {"url": None})
+    assert get('{"name": "visit", "arguments": "{\\"a\\": 1}"}') == ("visit", {"a": 1})
+    for bad in ('{"name": "visit", "arguments": null}', '{"name": "visit", "arguments": "{\\"a\\": 1} x}"}', '{"name": 3}', '{"function": "visit"}', '{"name": "visit", "arguments": [1]}', "[]"):
+        assert get(bad) == (None, None)
+
+
+def plain_call(text):
+    """A plain model of parse_tool_call."""
+    try:
+        v = json.JSONDecoder().raw_decode(text.split("<tool_call>", 1)[1].lstrip())[0]
+        f = v.get("function", v)
+        a = f.get("arguments", {})
+        a = json.loads(a) if isinstance(a, str) else a
+        if not isinstance(f["name"], str) or not isinstance(a, dict):
+            return None, None
+    except (ValueError, AttributeError, KeyError, TypeError):
+        return None, None
+    n = T.TOOL_ALIASES.get(f["name"], f["name"])
+    if n == "image_search":
+        a = {"url": a.get("image") or a.get("url")}
+    elif n in ("text_search", "web_search"):
+        top = {"top_k": a.get("top_k", a.get("topK"))} if n == "text_search" and ("top_k" in a or "topK" in a) else {}
+        hl = a.get("hl") or a.get("lang")
+        a = {"q": a.get("query") or a.get("q"), **({"hl": hl} if hl else {}), **top}
+    elif n in T.IMAGE_TOOLS and "image" not in a and "url" in a:
+        a = {k: x for k, x in a.items() if k != "url"} | {"image": a["url"]}
+    return n, a
+
+
+def test_calls_against_a_plain_model(spark):
+    r = random.Random(5)
+    values = ["", "x", None, 0, 3, False, True, [], [1], {"k": 1}, "</tool_call>"]
+    texts = []
+    for _ in range(400):
+        keys = r.sample(["q", "query", "hl", "lang", "topK", "top_k", "image", "url", "x"], r.randint(0, 5))
+        a = {k: r.choice(values) for k in keys}
+        v = {"name": r.choice(["text_search", "local_search", "web_search", "lens_scan", "crop", "ocr", "visit", 5]), "arguments": r.choice([a, a, a, json.dumps(a), None, "no", [a]])}
+        v = r.choice([v, v, {"function": v}])
+        texts.append("go <tool_call>" + r.choice(["", " \n"]) + json.dumps(v)[: r.choice([None, None, None, -1])] + r.choice(["</tool_call>", "", " and } so on"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.parse_tool_call(F.col("t")).alias("c"))
+    for row in df.collect():
+        want = plain_call(texts[row["i"]])
+        got = row["c"]["name"], None if row["c"]["arguments"] is None else json.loads(row["c"]["arguments"])
+        assert got == want, texts[row["i"]]
+
+
 def test_model_json(spark):
     get = lambda x: one(spark, T.model_json(F.col("t")), t=x)
     assert get('```json\n{"a": 1}\n```') == '{"a": 1}'
@@ -113,6 +166,7 @@ def test_anchor_repair(spark):
     get = lambda x: one(spark, T.repair_anchor(F.col("t")), t=x)
     assert get("Is the the place shown in the imageold?") == "Is the place shown in the image, old?"
     assert get("The the entity shown in the image is") == "The entity shown in the image is"
+    assert get("of the\n THE the Person SHOWN in the Imagewas") == "of the Person SHOWN in the Image, was" and get("the the house") == "the the house" and get(None) in (None, "")
 
 
 def test_html_and_links(spark):
