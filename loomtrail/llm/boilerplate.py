@@ -1,13 +1,15 @@
 """Problem 5: the main body of read pages, without what their sites put around and into it.
 
-Template deduction by equivalence classes. A token is a line with its numbers masked
-(facts and list items keep theirs). Pages of one site (told by its
-navigation, or by the host of its links, as the cache holds no host) give each token an occurrence vector: how often it
-stands in each page. Tokens with the same vector form a class; a class that is frequent among the site's pages is valid
-and belongs to the site's template if it is large, or nested by the pages it covers in one that is and no slot by its
-looks (heading, fact, item, varying numbers). Forms that are template wherever they
-are met on well-covered sites are template on sites seen once, too. What the template leaves are the slots: the page's
-own title, headings, paragraphs, lists, captions and facts, and lists of links that a template line heads.
+Template deduction by equivalence classes. A token is a line with its numbers masked (facts and list items keep theirs).
+Pages of one site (told by its navigation, or by the host of its links, as the cache holds no host) give each token an
+occurrence vector: in which pages it stands, and how often. Tokens with the same vector form a class; a class that is
+frequent among the site's pages is valid. A large class is a level of the site's template, and so is one that stands on
+every page; a smaller one is nested in a level if all its pages hold that level and it always stands in the same gap
+between the level's tokens. Levels and nested classes are the site's template, unless they look like slots (headings,
+facts, items, varying numbers). Forms that are template wherever they are met on well-covered sites are template on sites
+seen once, too. What the template leaves are the slots: the page's own title, headings, paragraphs, lists, captions and
+facts. Headings of lists of links to other pages, and labels before one such link, are learned, too: behind the former
+stand ever other short lines and hardly a paragraph, the latter stand apart from other facts, with ever other values.
 """
 
 from __future__ import annotations
@@ -22,22 +24,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, spread
 
-# Headings of lists of links to other pages, and labels before one such link.
-RELATED = [
-    "more from this author", "also of interest", "in this section", "popular this week", "related pages", "latest entries", "recommended for you", "most read",
-    "meistgelesen", "neueste einträge", "verwandte seiten", "das könnte sie auch interessieren", "mehr zum thema",
-    "à lire aussi", "les plus lus", "derniers articles", "pages liées", "articles liés",
-    "lo más leído", "últimas entradas", "páginas relacionadas", "te puede interesar",
-    "mais lidas", "últimas entradas", "veja também", "artigos recentes",
-]
-ONE_RELATED = ["read also", "don't miss", "see also", "lesen sie auch", "lire aussi", "à lire aussi", "lea también", "leia também", "leia mais", "nicht verpassen", "à ne pas manquer", "no se pierda", "não perca"]
-
-# Notices put between the parts of a body.
-INJECTED = [
-    "advertisement", "sponsored", "article continues below", "story continues after the notice", "edit this section",
-    "anzeige", "publicité", "publicidad", "publicidade",
-]
-
 _BULLET = re.compile(r"^(?:[-•*–]|\d{1,2}[.)])\s+")
 _HASH = re.compile(r"^(#{1,6})\s+")
 _LINK = re.compile(r"^(?:[-•*–]\s+)?\[[^\]]*\]\((?:https?:)?//([^/)\s]+)[^)]*\)$")
@@ -48,6 +34,7 @@ _FACT = re.compile(r"^([^\W\d_][\w '’]{0,28}?) ?: +\S.{0,80}$")
 _END = re.compile(r"[.!?。！？][\"”»')\]]*$")
 _CUT = re.compile(r"(?:\.\.\.|…)$")
 _NUM = re.compile(r"\d+(?:[.,:]\d+)*")
+_CAPTION = re.compile(r"^fig|^\[|[:,]", re.I)
 _NAME = re.compile(r"\b[A-ZÀ-Þ][\w'’]*(?:\s+(?:of |von |de )?[A-ZÀ-Þ][\w'’]*)*")
 
 #: Kinds of lines.
@@ -80,220 +67,316 @@ def _h(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def read_page(value: str) -> tuple[int | None, list[tuple]]:
-    """The site key of a page (None if nothing tells it) and its lines: number, kind, masked token, token without names, alone between body lines, line with its numbers."""
-    lines = [(k, x.strip()) for k, x in enumerate(value.split("\n"), 1) if x.strip()]
-    kinds = [line_kind(x) for _, x in lines]
-    bare = [_BULLET.sub("", _HASH.sub("", x)) for _, x in lines]
-    key = None
-    run: list[int] = []
-    menu: set[int] = set()
-    for k in range(min(len(lines), 30)):
-        if kinds[k] == LINK:
-            key = "host " + _LINK.match(lines[k][1]).group(1).lower()
-            break
-        if kinds[k] == SEP:
-            key = "nav " + " ".join(sorted(re.split(r"\s+[|·•]\s+", bare[k])))
-            break
-        if len(bare[k].split()) == 1 and kinds[k] in (SHORT, ITEM) and not any(c.isdigit() for c in bare[k]):
-            run.append(k)
-            continue
-        if len(run) >= 3:
-            break
-        run = []
-        if kinds[k] == PARA and k > 12:
-            break
-    if len(run) >= 3:
-        menu = set(run)
-        key = key or "nav " + " ".join(sorted(bare[k] for k in run))
-    out = []
-    body = (PARA, FACT, ITEM)
-    for k, (no, x) in enumerate(lines):
-        m1 = ("menu " if k in menu else "") + (bare[k] if kinds[k] in (FACT, ITEM) else _NUM.sub("0", bare[k]))  # a word of the menu plays another role than the same word as a heading
-        alone = kinds[k] == SHORT and 0 < k < len(lines) - 1 and kinds[k - 1] in body and kinds[k + 1] == PARA
-        h1 = _h(m1)
-        out.append((no, kinds[k], h1, _h(_form(m1) if kinds[k] in (PARA, SEP) else m1), alone, _h(bare[k]) if _NUM.search(bare[k]) else h1))
-    return (None if key is None else _h(key)), out
-
-
-def _tokens(lines: list[tuple]) -> list[dict]:
-    """The tokens of a page: how often each stands in it, the range of its lines with their numbers (one value if they are alike), whether it is a fact or an item."""
-    out: dict[tuple, dict] = {}
-    for _, kind, h1, h2, _, exact in lines:
-        t = out.setdefault((h1, h2), {"h1": h1, "h2": h2, "times": 0, "low": exact, "high": exact, "body": False})
-        t["times"] += 1
-        t["low"], t["high"], t["body"] = min(t["low"], exact), max(t["high"], exact), t["body"] or kind in (FACT, ITEM)
-    return list(out.values())
-
-
 def _form(token: str) -> str:
     """A token without its names and, if it is long, without its middle."""
     w = _NAME.sub("N", token).split()
     return " ".join(w if len(w) <= 8 else [*w[:3], "...", *w[-3:]])
 
 
-_RELATED, _ONE, _INJECTED = set(RELATED), set(ONE_RELATED), set(INJECTED)
+#: A line's look in one number: its kind, the level of a heading mark, a bullet, the signs of a caption.
+LEVEL, BULLET, CAPTION = 3, 1 << 6, 1 << 7
+BUCKETS = 16
+MOST_REMEMBERED = 200_000
 
 
-def main_lines(value: str, flags: list[tuple[int, bool, bool]]) -> list[int]:
-    """Numbers of the lines that aren't main body. flags: (line number, template, heading form) of each non-blank line."""
-    lines = [(k, x.strip()) for k, x in enumerate(value.split("\n"), 1) if x.strip()]
-    tpl = {n: t for n, t, _ in flags}
-    head = {n: h for n, _, h in flags}
-    kinds = [line_kind(x) for _, x in lines]
-    bare = [_BULLET.sub("", _HASH.sub("", x)).strip() for _, x in lines]
-    related = [b.lower().rstrip(":") in _RELATED for b in bare]
+def _read_line(x: str) -> tuple:
+    """(look, kind, bare, h1, h2, exact, word, host) of a stripped line: h1 the masked token, h2 its form, exact the line with its numbers (0 without any), word whether it may be an item of a menu."""
+    kind = line_kind(x)
+    level = _HASH.match(x)
+    bare = _HASH.sub("", x)
+    bullet = _BULLET.match(bare)
+    bare = _BULLET.sub("", bare)
+    look = kind | (len(level.group(1)) if level else 0) << LEVEL | (BULLET if bullet else 0) | (CAPTION if _CAPTION.search(bare) else 0)
+    digits = _NUM.search(bare)
+    m1 = _NUM.sub("0", bare) if digits and kind not in (FACT, ITEM) else bare
+    if kind in (PARA, SEP):
+        form = _form(m1)
+    elif kind == FACT:
+        form = "label " + _FACT.match(bare).group(1).strip().lower()
+    elif kind == SHORT:
+        form = m1.strip().lower().rstrip(":")
+    else:
+        form = m1
+    word = kind in (SHORT, ITEM) and len(bare.split()) == 1 and not any(c.isdigit() for c in bare)
+    return look, kind, bare.strip(), _h(m1), _h(form), _h(bare) if digits else 0, word, _LINK.match(x).group(1).lower() if kind == LINK else None
+
+
+def read_page(value: str, memo: dict[str, tuple] | None = None) -> tuple:
+    """(site, no, look, h1, h2, rep, exact, near, crumbs) of a page.
+
+    site is its key, None if nothing tells it: the host of its first link, or the items of its navigation, whatever comes
+    first. The lists have an entry for each line that isn't blank: its number, look and tokens (see _read_line), how often
+    the token stood before, the line's role among its neighbours: for a short line the bucket of the line behind it
+    (from 1, if that is short, an item or cut), for a fact that stands apart from other facts its own, and with 32 added
+    for a short line alone between body lines. crumbs are pairs of places: a path of names, and a later line of its last name.
+    """
+    memo = {} if memo is None else memo
+    no, lines = [], []
+    for k, raw in enumerate(value.split("\n"), 1):
+        x = raw.strip()
+        if x:
+            got = memo.get(x)
+            if got is None:
+                if len(memo) >= MOST_REMEMBERED:
+                    memo.clear()
+                got = memo[x] = _read_line(x)
+            no.append(k)
+            lines.append(got)
     n = len(lines)
-    is_tpl = [(bool(tpl.get(no)) and not x.startswith("##")) or b.lower().strip("[]") in _INJECTED for (no, x), b in zip(lines, bare)]
+    key, menu = None, ()
+    run: list[int] = []
+    for k in range(n + 1):
+        if k < n and lines[k][6]:
+            run.append(k)
+            continue
+        if len(run) >= 3:
+            menu = set(run)
+            key = "nav " + " ".join(sorted(lines[j][2] for j in run))
+            break
+        run = []
+        if k < n and lines[k][1] == LINK:
+            key = "host " + lines[k][7]
+            break
+        if k < n and lines[k][1] == SEP:
+            key = "nav " + " ".join(sorted(re.split(r"\s+[|·•]\s+", lines[k][2])))
+            break
+    h1 = [x[3] for x in lines]
+    h2 = [x[4] for x in lines]
+    for k in menu:  # a word of the menu plays another role than the same word as a heading
+        h1[k] = h2[k] = _h("menu " + lines[k][2])
+    times: dict[int, int] = {}
+    rep, near = [], []
+    for k, x in enumerate(lines):
+        rep.append(times.get(h1[k], 0))
+        times[h1[k]] = rep[-1] + 1
+        before, after = lines[k - 1][1] if k else -1, lines[k + 1][1] if k + 1 < n else -1
+        role = 0
+        if x[1] == SHORT:
+            if after in (SHORT, ITEM, CUT):
+                role = 1 + h1[k + 1] % BUCKETS
+            if before in (PARA, FACT, ITEM) and after == PARA:
+                role += 32
+        elif x[1] == FACT:
+            role = 1 + h1[k] % BUCKETS if before != FACT and after != FACT else 0
+        near.append(role)
+    crumbs = []
+    for k, x in enumerate(lines):
+        if x[1] == CRUMB:
+            name = _CRUMB_CUT.split(x[2])[-1].strip()
+            same = [j for j in range(k + 1, n) if lines[j][2] == name]
+            crumbs += [v for j in same or [-1] for v in (k, j)]
+    return None if key is None else _h(key), no, [x[0] for x in lines], h1, h2, rep, [x[5] for x in lines], near, crumbs
+
+
+#: What is known of a line's token: it is template; it may head a part; it heads a list of links; it labels one link.
+TEMPLATE, HEAD, LINKS, ONE_LINK = 1, 2, 4, 8
+
+
+def main_lines(no: list[int], look: list[int], known: dict[int, int], crumbs: list[int]) -> list[int]:
+    """Numbers of the lines that aren't main body. known: the flags of each line's token by line number; no, look and crumbs as read_page() gives them."""
+    n = len(no)
+    flags = [known.get(x, 0) for x in no]
+    kinds = [x & 7 for x in look]
+    level = [x >> LEVEL & 7 for x in look]
+    bullet = [bool(x & BULLET) for x in look]
+    links = [bool(f & LINKS) and k == SHORT for f, k in zip(flags, kinds)]
+    lone = [bool(f & ONE_LINK) and k == FACT for f, k in zip(flags, kinds)]
+    is_tpl = [bool(f & TEMPLATE) and v < 2 for f, v in zip(flags, level)]
     title = None
-    for k in range(n):
-        if kinds[k] == CRUMB:
-            name = _CRUMB_CUT.split(bare[k])[-1].strip()
-            same = [j for j in range(k + 1, n) if bare[j] == name]
-            if same:
-                title = next((j for j in same if not _BULLET.match(lines[j][1]) and j + 1 < n and not related[j + 1] and kinds[j + 1] in (PARA, FACT, ITEM)), next((j for j in same if not _BULLET.match(lines[j][1])), same[0]))
-            if title is not None or not is_tpl[k]:
-                break
+    paths: dict[int, list[int]] = {}
+    for k, j in zip(crumbs[::2], crumbs[1::2]):
+        paths.setdefault(k, [])
+        if j >= 0:
+            paths[k].append(j)
+    for k, same in paths.items():
+        if same:
+            plain = [j for j in same if not bullet[j]]
+            title = next((j for j in plain if j + 1 < n and not links[j + 1] and kinds[j + 1] in (PARA, FACT, ITEM)), (plain or same)[0])
+        if title is not None or not is_tpl[k]:
+            break
     if title is None:
-        title = next((k for k in range(n) if (m := _HASH.match(lines[k][1])) and len(m.group(1)) == 1), None)
+        title = next((k for k in range(n) if level[k] == 1), None)
     if title is None:
-        first = next((k for k in range(n) if kinds[k] in (PARA, FACT) and not is_tpl[k] and not (kinds[k] == FACT and _FACT.match(bare[k]).group(1).lower() in _ONE)), None)
+        first = next((k for k in range(n) if kinds[k] in (PARA, FACT) and not is_tpl[k] and not lone[k]), None)
         if first is not None:
-            title = next((k for k in range(first - 1, -1, -1) if kinds[k] == SHORT and not is_tpl[k] and not related[k]), first)
+            title = next((k for k in range(first - 1, -1, -1) if kinds[k] == SHORT and not is_tpl[k] and not links[k]), first)
     if title is None:
-        title = next((k for k in range(n) if kinds[k] == SHORT and not is_tpl[k] and not related[k]), n)
-    out = [lines[k][0] for k in range(title)]
+        title = next((k for k in range(n) if kinds[k] == SHORT and not is_tpl[k] and not links[k]), n)
+    out = set(range(title))
     k = title + 1
     while k < n:
-        no, raw = lines[k]
-        if related[k]:
-            out.append(no)
+        if links[k]:
+            out.add(k)
             k += 1
             bullets = None
-            while k < n and not is_tpl[k] and not related[k]:
-                raw = lines[k][1]
-                if _HASH.match(raw) or kinds[k] in (PARA, FACT, SEP, CRUMB):
+            while k < n and not is_tpl[k] and not links[k]:
+                if level[k] or kinds[k] in (PARA, FACT, SEP, CRUMB):
                     break
-                bulleted = bool(_BULLET.match(raw))
-                if bullets and not bulleted:
+                if bullets is None:
+                    bullets = bullet[k]
+                elif bullets != bullet[k]:
                     break
-                if bulleted and bullets is None:
-                    bullets = True
-                elif bullets is None:
-                    bullets = False
-                if kinds[k] == SHORT and head.get(lines[k][0]) and k + 1 < n and kinds[k + 1] in (PARA, FACT, ITEM) and not is_tpl[k + 1]:
+                if kinds[k] == SHORT and flags[k] & HEAD and k + 1 < n and kinds[k + 1] in (PARA, FACT, ITEM) and not is_tpl[k + 1]:
                     break
-                if bullets is False and bulleted:
-                    break
-                out.append(lines[k][0])
+                out.add(k)
                 k += 1
             continue
-        label = _FACT.match(bare[k]) if kinds[k] == FACT else None
-        if is_tpl[k] or kinds[k] in (SEP, LINK, CRUMB, CUT) or (label and label.group(1).strip().lower() in _ONE):
-            out.append(no)
+        if is_tpl[k] or kinds[k] in (SEP, LINK, CRUMB, CUT) or lone[k]:
+            out.add(k)
         k += 1
     # behind the last body line, what follows the first template line is the foot of the page; captions may stand there, too
-    gone = set(out)
-    last = max((j for j in range(n) if kinds[j] in (PARA, FACT, ITEM) and lines[j][0] not in gone), default=title)
+    last = max((j for j in range(n) if kinds[j] in (PARA, FACT, ITEM) and j not in out), default=title)
     foot = False
     for j in range(last + 1, n):
-        if lines[j][0] in gone:
+        if j in out:
             foot = True
-        elif foot and kinds[j] == SHORT and not re.search(r"^fig|^\[|[:,]", bare[j], re.I):
-            out.append(lines[j][0])
-    return out
+        elif foot and kinds[j] == SHORT and not look[j] & CAPTION:
+            out.add(j)
+    return [no[j] for j in sorted(out)]
 
 
-def site_classes(valid: DataFrame, counted: DataFrame, least_tokens: int) -> DataFrame:
-    """valid(site, h1, h2, support, pages, vector, ...) with the class of each token: tokens, its size; large, of least_tokens or more; nested, whether its pages all hold one outer class.
+_READ = "site bigint, no array<int>, look array<int>, h1 array<bigint>, h2 array<bigint>, rep array<int>, exact array<bigint>, near array<int>, crumbs array<int>"
 
-    A class is outer if it is large or stands on every page of its site. Classes are met page by page, one token standing
-    for each, so that no list of a site's pages is ever held: a class is nested in an outer one of larger support if they
-    meet on as many pages as it has.
-    """
-    w = Window.partitionBy("site", "vector", "support")
-    classes = valid.withColumn("tokens", F.count("*").over(w)).withColumn("first", F.row_number().over(w.orderBy("h1", "h2")) == 1)
-    classes = classes.withColumn("large", F.col("tokens") >= least_tokens).withColumn("outer", F.expr("large or support = pages"))
-    met = counted.select("site", "page", "h1", "h2").join(classes.where("first").select("site", "h1", "h2", "vector", "support", "large", "outer"), ["site", "h1", "h2"])
-    holds = met.where("outer").select("site", "page", F.col("vector").alias("holder"), F.col("support").alias("held"))
-    pairs = met.where("not large").join(holds, ["site", "page"]).where("held > support").groupBy("site", "vector", "support", "holder", "held").agg(F.count("*").alias("n"))
-    nested = pairs.where("n = support").select("site", "vector", "support", F.lit(True).alias("nested")).distinct()
-    return classes.join(nested, ["site", "vector", "support"], "left").withColumn("nested", F.coalesce("nested", F.lit(False)))
 
+def _pages(cache: DataFrame) -> DataFrame:
+    """(cache_id, value, vh, vl): the entries of namespace page with a value, and a hash and the length of it."""
+    return cache.where("namespace = 'page' and trim(value) <> ''").select("cache_id", "value", F.xxhash64("value").alias("vh"), F.length("value").alias("vl"))
 
-def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5, least_tokens: int = 3) -> DataFrame:
-    """(cache_id, line_no) of each non-blank line of an entry of namespace page that isn't main body.
 
-    A token's class is valid on a site of least_pages pages or more if it covers site_share of them. Valid classes of
-    least_tokens tokens are template there, and smaller ones if they stand on every page or are nested in such a class,
-    and aren't headings, facts, items or lines with varying numbers. For what is seen too seldom on its own site, a form
-    (the token without its names) is template if its classes are valid on form_share of the well-covered sites that have it.
-    Entries with one value are read once and give their lines to each cache_id. Null, empty and blank values and other
-    namespaces give no lines; pages without a title keep all that no rule takes away. An empty table gives none.
-    """
-    pages = cache.where("namespace = 'page' and trim(value) <> ''").select("cache_id", "value", F.xxhash64("value").alias("vh"), F.length("value").alias("vl"))
+def read_pages(cache: DataFrame) -> DataFrame:
+    """(page, vh, vl, real, site, no, look, h1, h2, rep, exact, near, crumbs): each value once, see read_page(). A page that nothing tells the site of is a site of its own, and real is false. A table in the shared folder."""
+    pages = _pages(cache)
     texts = pages.groupBy("vh", "vl").agg(F.min("cache_id").alias("page"))
-    schema = "site bigint, lines array<struct<no:int,kind:int,h1:bigint,h2:bigint,alone:boolean>>, tokens array<struct<h1:bigint,h2:bigint,times:int,low:bigint,high:bigint,body:boolean>>"
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(_READ)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple] = {}
         for s in batches:
-            rows = [read_page(x) for x in s]
-            yield pd.DataFrame(
-                {
-                    "site": pd.Series([r[0] for r in rows], dtype="Int64"),
-                    "lines": [[dict(zip(("no", "kind", "h1", "h2", "alone"), x)) for x in r[1]] for r in rows],
-                    "tokens": [_tokens(r[1]) for r in rows],
-                }
-            )
-
-    one = spread(pages).join(texts.select("page"), pages.cache_id == F.col("page"), "left_semi").withColumn("r", read("value"))
-    one = materialize(one.select(F.col("cache_id").alias("page"), "vh", "vl", "value", "r.site", "r.lines", "r.tokens"), "pages")
-    line = one.select("page", "site", F.explode("lines").alias("x")).select("page", "site", "x.*")
-    counted = one.where("site is not null").select("site", "page", F.explode("tokens").alias("t")).select("site", "page", "t.*")
-    sites = one.where("site is not null").groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    # the occurrence vector as an order-free fingerprint, so that no list of a site's pages is ever held
-    vectors = counted.groupBy("site", "h1", "h2").agg(
-        F.count("*").alias("support"), F.sum(F.expr("cast(xxhash64(page, times) as decimal(38,0))")).alias("vector"), (F.min("low") == F.max("high")).alias("fixed"), F.bool_or("body").alias("body")
-    )
-    classes = vectors.join(sites, "site").withColumn("valid", F.expr(f"support >= {site_share} * pages"))
-    grouped = site_classes(classes.where("valid"), counted, least_tokens)
-    on_site = classes.groupBy("site", "h2").agg(F.max("valid").alias("valid"), F.max(F.col("support") / F.col("pages")).alias("share"))
-    template = (
-        on_site.groupBy("h2")
-        .agg(F.avg(F.col("valid").cast("double")).alias("ratio"), F.avg(F.expr("case when share >= 0.1 then share end")).alias("share"))
-        .where((F.col("ratio") >= form_share) & (F.col("share") >= form_share))
-        .select("h2", F.lit(True).alias("tpl"))
+            rows = list(zip(*[read_page(x, memo) for x in s]))
+            yield pd.DataFrame(dict(zip(("site", "no", "look", "h1", "h2", "rep", "exact", "near", "crumbs"), [pd.Series(rows[0], dtype="Int64"), *map(list, rows[1:])]))) if rows else pd.DataFrame()
+
+    one = spread(pages).join(texts.select("page"), F.col("cache_id") == F.col("page"), "left_semi").withColumn("r", read("value"))
+    one = one.select(F.col("cache_id").alias("page"), "vh", "vl", F.col("r.site").isNotNull().alias("real"), F.coalesce("r.site", F.xxhash64("cache_id", F.lit(1))).alias("site"), *[f"r.{c}" for c in ("no", "look", "h1", "h2", "rep", "exact", "near", "crumbs")])
+    return materialize(one, "pages")
+
+
+def site_tokens(one: DataFrame) -> DataFrame:
+    """(site, real, h1, h2, support, occurs, v1, v2, fixed, body, sentence, heading, apart): what is known of each token of a site, and under h1 = h2 = 0 its number of pages. v1 and v2 are the occurrence vector, as two order-free fingerprints of the pages and the counts in them, so that no list of a site's pages is ever held. A table in the shared folder."""
+    line = one.select("site", "real", "page", F.inline(F.arrays_zip("look", "h1", "h2", "rep", "exact", "near")))
+    line = line.unionByName(one.select("site", "real", "page", *[F.lit(0).alias(c) for c in ("look", "h1", "h2", "rep", "exact", "near")]))
+    kind = F.col("look").bitwiseAND(7)
+    return materialize(
+        line.groupBy("site", "real", "h1", "h2").agg(
+            F.count_if(F.col("rep") == 0).alias("support"),
+            F.count("*").alias("occurs"),
+            F.bit_xor(F.xxhash64("page", "rep")).alias("v1"),
+            F.bit_xor(F.xxhash64("rep", "page")).alias("v2"),
+            (F.min("exact") == F.max("exact")).alias("fixed"),
+            F.bool_or(kind.isin(FACT, ITEM)).alias("body"),
+            F.bool_or(kind == PARA).alias("sentence"),
+            F.count_if(F.col("near") >= 32).alias("heading"),
+            F.count_if((kind == FACT) & (F.col("near") > 0)).alias("apart"),
+        ),
+        "tokens",
     )
-    # a sentence met again and again on one site and nowhere else speaks for the site
-    sentence = line.where(F.col("kind") == PARA).select("h1").distinct()
-    own = vectors.groupBy("h1").agg(F.count("*").alias("n"), F.max("site").alias("site"), F.max("support").alias("support"), F.max("h2").alias("h2")).where("n = 1 and support >= 5")
-    own = own.join(sites, "site").where("support >= 0.1 * pages").join(sentence, "h1", "left_semi")
-    # ... and its form speaks for any site, once several have it so
-    spoken = own.groupBy("h2").agg(F.countDistinct("site").alias("n")).where("n >= 3").select("h2", F.lit(True).alias("tpl"))
-    template = template.unionByName(spoken).distinct()
-    own = own.select("h1", F.lit(True).alias("own"))
-    heads = line.groupBy("h2").agg(F.count_if("alone").alias("n"), F.count("*").alias("of")).where("n >= 3 and n >= 0.3 * of").select("h2", F.lit(True).alias("head"), F.expr("n >= 0.66 * of").alias("heading"))
-    forms = template.join(heads.select("h2", "head"), "h2", "full_outer")
-    # a smaller class nested in an outer one is an option of the template, unless it looks like a slot: a heading, fact or item, or a line whose numbers differ
-    headings = heads.where("heading").select("h2")
-    small = grouped.where("not large and (nested or outer) and fixed and not body").join(headings, "h2", "left_anti")
-    here = grouped.where("large").select("site", "h1", "h2").unionByName(small.select("site", "h1", "h2")).withColumn("here", F.lit(True))
-    flagged = (
-        line.join(forms, "h2", "left")
-        .join(own, "h1", "left")
-        .join(here, ["site", "h1", "h2"], "left")
-        .where("tpl or head or own or here")
-        .select("page", "no", F.expr("coalesce(tpl, false) or coalesce(own, false) or coalesce(here, false)").alias("tpl"), F.coalesce("head", F.lit(False)).alias("head"))
+
+
+def site_templates(one: DataFrame, tokens: DataFrame, least_pages: int = 8, site_share: float = 0.3, least_tokens: int = 3) -> DataFrame:
+    """(site, pages, class, support, tokens, level, inside, gap, members): the valid classes of each site of least_pages pages or more; members are their tokens (h1, h2, plain).
+
+    A class holds the tokens of one occurrence vector that cover site_share of the pages; so a site has at most the mean
+    number of its pages' tokens / site_share valid ones, and its classes are a short list. level: it has least_tokens
+    tokens or stands on every page. inside is the smallest level that all pages of another class hold with the class in
+    one and the same gap between its tokens, and gap is that gap; null for what is nested in none. plain members have no
+    varying numbers and are neither facts nor items. A table in the shared folder.
+    """
+    sites = tokens.where("real and h1 = 0 and h2 = 0").select("site", F.col("support").alias("pages")).where(F.col("pages") >= least_pages)
+    valid = tokens.where("h1 <> 0 or h2 <> 0").join(sites, "site").where(F.expr(f"support >= {site_share} * pages"))
+    member = F.struct("h1", "h2", F.expr("fixed and not body").alias("plain"))
+    classes = valid.groupBy("site", "pages", "support", "v1", "v2").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    classes = classes.select("site", "pages", "support", F.xxhash64("v1", "v2", "support").alias("class"), F.size("members").alias("tokens"), "members")
+    classes = materialize(classes.withColumn("level", F.expr(f"tokens >= {least_tokens} or support = pages")), "classes")
+    # each page tells which of its classes stand in which gap of its levels
+    by_site = classes.groupBy("site").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(m["h1"].alias("h1"), F.struct("class", "level").alias("c"))))).alias("m"))
+    found = one.where("real").join(by_site.select("site", F.map_from_entries(F.array_distinct(F.transform("m", lambda x: x))).alias("m")), "site")
+    hits = F.filter(F.transform(F.arrays_zip("h1", "rep"), lambda x, k: F.struct(k.alias("k"), F.when(x["rep"] == 0, F.element_at("m", x["h1"])).alias("c"))), lambda x: x["c"].isNotNull())
+    found = found.select("site", hits.alias("hits"))
+    levels = F.array_distinct(F.transform(F.filter("hits", lambda x: x["c"]["level"]), lambda x: x["c"]["class"]))
+    first = F.filter("hits", lambda x, k: ~F.exists(F.slice("hits", F.lit(1), k), lambda y: y["c"]["class"] == x["c"]["class"]))
+    gap = lambda x, b: F.size(F.filter("hits", lambda y: (y["c"]["class"] == b) & (y["k"] < x["k"])))
+    pairs = F.flatten(F.transform(first, lambda x: F.transform(F.filter(levels, lambda b: b != x["c"]["class"]), lambda b: F.struct(x["c"]["class"].alias("class"), b.alias("inside"), gap(x, b).alias("gap")))))
+    met = found.select("site", F.explode(pairs).alias("p")).groupBy("site", "p.class", "p.inside").agg(F.count("*").alias("n"), F.min("p.gap").alias("gap"), F.max("p.gap").alias("last"))
+    outer = classes.where("level").select("site", F.col("class").alias("inside"), F.col("support").alias("held"))
+    nested = met.join(classes.select("site", "class", "support"), ["site", "class"]).join(outer, ["site", "inside"]).where("n = support and gap = last and held > support")
+    nested = nested.groupBy("site", "class").agg(F.min(F.struct("held", "inside", "gap")).alias("o")).select("site", "class", "o.inside", "o.gap")
+    return materialize(classes.join(nested, ["site", "class"], "left").select("site", "pages", "class", "support", "tokens", "level", "inside", "gap", "members"), "templates")
+
+
+def known_tokens(one: DataFrame, tokens: DataFrame, templates: DataFrame, least_pages: int, site_share: float, form_share: float, least_tokens: int) -> DataFrame:
+    """(site, h1, h2, occurs, flags) of each token of each site of which something is known. A table in the shared folder."""
+    real = tokens.where("h1 <> 0 or h2 <> 0")
+    sites = tokens.where("real and h1 = 0 and h2 = 0").select("site", F.col("support").alias("pages")).where(F.col("pages") >= least_pages)
+    # forms that are valid wherever they are met, and stand on most pages of some site
+    on_site = real.join(sites, "site").groupBy("site", "h2").agg(F.max(F.expr(f"support >= {site_share} * pages")).alias("valid"), F.max(F.col("support") / F.col("pages")).alias("share"))
+    voted = on_site.groupBy("h2").agg(F.avg(F.col("valid").cast("double")).alias("ratio"), F.max("share").alias("share")).where((F.col("ratio") >= form_share) & (F.col("share") >= form_share)).select("h2")
+    # a sentence met again and again on one site and nowhere else speaks for the site, and its form for any, once several sites have it so
+    own = real.groupBy("h1").agg(F.count_if("real").alias("n"), F.max(F.struct(F.col("real").alias("r"), "site", "support", "h2")).alias("t"), F.bool_or("sentence").alias("sentence"))
+    own = own.where("n = 1 and sentence and t.support >= 5").select("h1", "t.site", "t.support", "t.h2").join(sites, "site").where("support >= 0.1 * pages")
+    spoken = own.groupBy("h2").agg(F.countDistinct("site").alias("n")).where("n >= 3").select("h2")
+    # roles of forms: what may head a part, what heads lists of links, what labels one link
+    by_form = real.groupBy("h2").agg(F.sum("heading").alias("heading"), F.sum("apart").alias("apart"), F.sum("occurs").alias("n"))
+    line = one.select(F.inline(F.arrays_zip("h2", "look", "near")))
+    behind = line.where("(look & 7) in (%d, %d) and near %% 32 > 0" % (SHORT, FACT)).groupBy("h2", (F.col("near") % 32).alias("b")).agg(F.count("*").alias("c")).groupBy("h2").agg(F.sum("c").alias("short"), F.max("c").alias("most"))
+    forms = by_form.join(behind, "h2", "left").withColumn("varied", F.expr("n >= 3 and most <= short * (0.25 + 1 / sqrt(short))"))
+    forms = forms.select(
+        "h2",
+        F.expr("heading >= 3 and heading >= 0.3 * n").alias("head"),
+        F.expr("heading >= 3 and heading >= 0.66 * n").alias("heading"),
+        F.coalesce(F.expr("varied and apart = 0 and short >= 0.7 * n"), F.lit(False)).alias("links"),
+        F.coalesce(F.expr("varied and apart >= 0.6 * n"), F.lit(False)).alias("lone"),
     )
-    by_page = flagged.groupBy("page").agg(F.collect_list(F.struct("no", "tpl", "head")).alias("flags"))
+    template = voted.unionByName(spoken).distinct().withColumn("tpl", F.lit(True))
+    forms = forms.join(template, "h2", "left").where("head or heading or links or lone or tpl")
+    # the site's own template: its levels, and what is nested in them and no slot by its looks
+    here = templates.select("site", F.expr("level and tokens >= %d" % least_tokens).alias("large"), F.expr("level or inside is not null").alias("held"), F.explode("members").alias("m"))
+    here = here.where("large or held and m.plain").select("site", "m.h1", "m.h2", "large")
+    known = real.select("site", "h1", "h2", "occurs").join(forms, "h2", "left").join(own.select("h1", F.lit(True).alias("own")), "h1", "left").join(here, ["site", "h1", "h2"], "left")
+    tpl = F.expr("coalesce(tpl, false) or coalesce(own, false) or (large is not null and (large or not coalesce(heading, false)))")
+    bit = lambda c, b: F.when(c, b).otherwise(0)
+    flags = bit(tpl, TEMPLATE) + bit(F.col("head"), HEAD) + bit(F.col("links"), LINKS) + bit(F.col("lone"), ONE_LINK)
+    return materialize(known.select("site", "h1", "h2", "occurs", flags.alias("flags")).where("flags > 0"), "known")
+
+
+def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5, least_tokens: int = 3) -> DataFrame:
+    """(cache_id, line_no) of each non-blank line of an entry of namespace page that isn't main body.
+
+    The template of a site of least_pages pages or more is deduced from its classes (see site_templates()): levels of
+    least_tokens tokens or more with all their tokens; other levels and nested classes without what looks like a slot. For
+    what is seen too seldom on its own site, a form (the token without its names) is template if it is valid on form_share
+    of the well-covered sites that have it, and stands on form_share of one's pages. Entries with one value are read once and give their lines to each cache_id.
+    Null, empty and blank values and other namespaces give no lines; pages without a title keep all that no rule takes
+    away. An empty table gives none.
+    """
+    one = read_pages(cache)
+    tokens = site_tokens(one)
+    known = known_tokens(one, tokens, site_templates(one, tokens, least_pages, site_share, least_tokens), least_pages, site_share, form_share, least_tokens)
+    # tokens of more than a 20,000th of all lines, 20,000 at most, are broadcast; the others meet their lines by a join without hot keys
+    lines = one.agg(F.sum(F.size("no"))).first()[0] or 0
+    hot = F.col("occurs") > lines / 20_000
+    line = one.select("page", "site", F.inline(F.arrays_zip("no", "h1", "h2")))
+    key = ["site", "h1", "h2"]
+    line = line.join(F.broadcast(known.where(hot).select(*key, F.col("flags").alias("hot"))), key, "left")
+    cold = line.where("hot is null").drop("hot").join(known.where(~hot).select(*key, "flags"), key).select("page", "no", "flags")
+    flagged = line.where("hot is not null").select("page", "no", F.col("hot").alias("flags")).unionByName(cold)
+    by_page = flagged.groupBy("page").agg(F.collect_list(F.col("no") * 16 + F.col("flags")).alias("known"))
 
     @F.pandas_udf("array<int>")
-    def decide(values: pd.Series, flags: pd.Series) -> pd.Series:
-        return pd.Series([main_lines(v, [(x["no"], x["tpl"], x["head"]) for x in (f if f is not None else [])]) for v, f in zip(values, flags)], dtype=object)
+    def decide(no: pd.Series, look: pd.Series, known: pd.Series, crumbs: pd.Series) -> pd.Series:
+        tell = lambda f: {} if f is None else {x >> 4: x & 15 for x in f.tolist()}
+        return pd.Series([main_lines(n.tolist(), v.tolist(), tell(f), c.tolist()) for n, v, f, c in zip(no, look, known, crumbs)], dtype=object)
 
-    cut = one.join(by_page, "page", "left").select("vh", "vl", decide("value", "flags").alias("out"))
-    return pages.select("cache_id", "vh", "vl").join(cut, ["vh", "vl"]).select("cache_id", F.explode("out").alias("line_no")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    cut = one.select("page", "vh", "vl", "no", "look", "crumbs").join(by_page, "page", "left").select("vh", "vl", decide("no", "look", "known", "crumbs").alias("out"))
+    return _pages(cache).select("cache_id", "vh", "vl").join(cut, ["vh", "vl"]).select("cache_id", F.explode("out").alias("line_no")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def main_body(cache: DataFrame) -> DataFrame:
@@ -306,18 +389,7 @@ def main_body(cache: DataFrame) -> DataFrame:
     return pages.join(out, "cache_id", "left").select("cache_id", body.alias("body"))
 
 
-def site_templates(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3) -> DataFrame:
-    """(site, support, pages, tokens, inside): the valid classes of each site with their number of tokens and the support of the next larger class that holds them."""
-    pages = cache.where("namespace = 'page' and trim(value) <> ''").groupBy(F.xxhash64("value").alias("vh")).agg(F.min("cache_id").alias("page"), F.min("value").alias("value"))
-
-    @F.pandas_udf("site bigint, tokens array<bigint>")
-    def read(s: pd.Series) -> pd.DataFrame:
-        rows = [read_page(x) for x in s]
-        return pd.DataFrame({"site": pd.Series([r[0] for r in rows], dtype="Int64"), "tokens": [[x[2] for x in r[1]] for r in rows]})
-
-    one = pages.withColumn("r", read("value")).select("page", "r.site", "r.tokens").where("site is not null")
-    counted = one.select("site", "page", F.explode("tokens").alias("h1")).groupBy("site", "h1", "page").agg(F.count("*").alias("times"))
-    sites = one.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    vectors = counted.groupBy("site", "h1").agg(F.count("*").alias("support"), F.sum(F.expr("cast(xxhash64(page, times) as decimal(38,0))")).alias("vector"))
-    classes = vectors.join(sites, "site").where(F.expr(f"support >= {site_share} * pages")).groupBy("site", "pages", "support", "vector").agg(F.count("*").alias("tokens"))
-    return classes.select("site", "pages", "support", "tokens", F.expr("min(support) over (partition by site order by support range between 1 following and unbounded following)").alias("inside"))
+def template_report(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, least_tokens: int = 3) -> DataFrame:
+    """(site, pages, class, support, tokens, level, inside, gap): the deduced template of each well-covered site, without its tokens."""
+    one = read_pages(cache)
+    return site_templates(one, site_tokens(one), least_pages, site_share, least_tokens).drop("members")

@@ -69,7 +69,7 @@ def p5_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested classes of each site's template."""
-    return boilerplate.site_templates(table(spark, sf_dir, "tool_cache"))
+    return boilerplate.template_report(table(spark, sf_dir, "tool_cache"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,9 @@ def test_sites(spark):
     assert got[500] == got[0] and not {501, 502, 503} & set(got)
     bodies = {x["cache_id"]: x["body"] for x in B.main_body(df).collect()}
     assert bodies[501] is None and bodies[502] is None and 503 not in bodies and bodies[500] == bodies[0] and "Back to top" not in bodies[0]
-    t = B.site_templates(df).collect()
+    t = B.template_report(df).collect()
     assert len({x["site"] for x in t}) == 2 and max(x["tokens"] for x in t) >= 4
+    assert all(x["inside"] is None or any(o["class"] == x["inside"] and o["level"] and o["support"] > x["support"] and o["site"] == x["site"] for o in t) for x in t)
     assert B.boilerplate_lines(df.limit(0)).count() == 0
 
 
@@ -100,3 +101,46 @@ def test_small_class_is_template_on_its_site(spark):
     got = out_lines(spark, site_pages(extra))
     assert "Enter your address to subscribe" in got
     assert not any(x.startswith(("History", "Material", "Route", "The dock", "- Kofell", "#", "The old", "A ")) for x in got)
+
+
+def test_classes_come_from_the_occurrence_vectors(spark):
+    """Two boxes of equal support on different pages are two classes; on the same pages they are one."""
+
+    def tokens_of(extra):
+        rows = spark.createDataFrame(site_pages(extra), SCHEMA)
+        return {(x["support"], x["tokens"]) for x in B.template_report(rows).collect()}
+
+    assert (10, 4) in tokens_of(lambda k: ["One a", "One b", "Two a", "Two b"] if k % 2 else [])
+    apart = tokens_of(lambda k: ["One a", "One b"] if k % 2 else ["Two a", "Two b"])
+    assert (10, 2) in apart and (10, 4) not in apart
+    twice = tokens_of(lambda k: (["One a", "One a", "One b", "Two a", "Two b"] if k % 4 == 1 else ["One a", "One b", "Two a", "Two b"]) if k % 2 else [])
+    assert (10, 1) in twice and (10, 3) in twice
+
+
+def test_a_class_is_nested_by_pages_and_place(spark):
+    """An option that always stands in one gap of the site's template is nested in it; one that stands now before, now behind a level's token isn't."""
+    got = {x["support"]: x for x in B.template_report(spark.createDataFrame(site_pages(lambda k: ["Enter your address"] if k % 5 < 2 else []), SCHEMA)).collect()}
+    assert got[20]["level"] and got[8]["inside"] == got[20]["class"] and got[8]["gap"] == 4
+    rows = site_pages(lambda k: [])
+    rows = [(*r[:3], r[3].replace("Back to top", "Back to top\nRate it" if r[0] % 2 else "Rate it\nBack to top") if r[0] % 4 < 2 else r[3], *r[4:]) for r in rows]
+    moved = {x["support"]: x for x in B.template_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert moved[10]["inside"] is None
+
+
+def test_navigation_after_many_lines(spark):
+    """A menu behind forty lines of a page tells its site all the same."""
+    lead = "\n".join(f"The {a}{b} of the old mill was kept by the guild." for a in "abcde" for b in "fghijklm")
+    got = B.read_page(lead + "\nMap\nJobs\nVisit\n# Old Tower")
+    assert got[0] == B.read_page("Jobs\nMap\nVisit\n# Big Lake")[0] is not None
+
+
+def test_lists_of_links_are_learned(spark):
+    """A heading behind which ever other short lines stand, in words that no list names, takes its lines with it; a heading of parts doesn't."""
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        name = lambda: f"{r.choice('ABCDEFGH')}{r.choice('aeiou')}l{r.choice('mnrst')}{r.choice('aeiou')} Mill"
+        links = ["Onward to"] + [name() for _ in range(3)]
+        rows.append((k, "page", f"k{k}", "\n".join([f"# {name()} {k}", f"The mill of {name()} was built in {1700 + k} by its owner.", "History", f"It was sold to {name()} in {1800 + k}.", *links]), 0, 0, 0))
+    got = {(x["cache_id"], x["line_no"]) for x in B.boilerplate_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(k, n) for k in range(60) for n in (5, 6, 7, 8)}
