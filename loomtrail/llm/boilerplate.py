@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import drop_materialized, materialize, spread
 
 _BULLET = re.compile(r"^(?:[-•*–]|\d{1,2}[.)])\s+")
 _HASH = re.compile(r"^(#{1,6})\s+")
@@ -298,7 +298,7 @@ def site_templates(one: DataFrame, tokens: DataFrame, least_pages: int = 8, site
     classes = materialize(classes.withColumn("level", F.expr(f"tokens >= {least_tokens} or support = pages")), "classes")
     # each page tells which of its classes stand in which gap of its levels
     by_site = classes.groupBy("site").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(m["h1"].alias("h1"), F.struct("class", "level").alias("c"))))).alias("m"))
-    found = one.where("real").join(by_site.select("site", F.map_from_entries(F.array_distinct(F.transform("m", lambda x: x))).alias("m")), "site")
+    found = one.where("real").join(by_site.select("site", F.map_from_entries("m").alias("m")), "site")
     hits = F.filter(F.transform(F.arrays_zip("h1", "rep"), lambda x, k: F.struct(k.alias("k"), F.when(x["rep"] == 0, F.element_at("m", x["h1"])).alias("c"))), lambda x: x["c"].isNotNull())
     found = found.select("site", hits.alias("hits"))
     levels = F.array_distinct(F.transform(F.filter("hits", lambda x: x["c"]["level"]), lambda x: x["c"]["class"]))
@@ -309,7 +309,9 @@ def site_templates(one: DataFrame, tokens: DataFrame, least_pages: int = 8, site
     outer = classes.where("level").select("site", F.col("class").alias("inside"), F.col("support").alias("held"))
     nested = met.join(classes.select("site", "class", "support"), ["site", "class"]).join(outer, ["site", "inside"]).where("n = support and gap = last and held > support")
     nested = nested.groupBy("site", "class").agg(F.min(F.struct("held", "inside", "gap")).alias("o")).select("site", "class", "o.inside", "o.gap")
-    return materialize(classes.join(nested, ["site", "class"], "left").select("site", "pages", "class", "support", "tokens", "level", "inside", "gap", "members"), "templates")
+    out = materialize(classes.join(nested, ["site", "class"], "left").select("site", "pages", "class", "support", "tokens", "level", "inside", "gap", "members"), "templates")
+    drop_materialized(out.sparkSession, classes)
+    return out
 
 
 def known_tokens(one: DataFrame, tokens: DataFrame, templates: DataFrame, least_pages: int, site_share: float, form_share: float, least_tokens: int) -> DataFrame:
@@ -321,7 +323,7 @@ def known_tokens(one: DataFrame, tokens: DataFrame, templates: DataFrame, least_
     voted = on_site.groupBy("h2").agg(F.avg(F.col("valid").cast("double")).alias("ratio"), F.max("share").alias("share")).where((F.col("ratio") >= form_share) & (F.col("share") >= form_share)).select("h2")
     # a sentence met again and again on one site and nowhere else speaks for the site, and its form for any, once several sites have it so
     own = real.groupBy("h1").agg(F.count_if("real").alias("n"), F.max(F.struct(F.col("real").alias("r"), "site", "support", "h2")).alias("t"), F.bool_or("sentence").alias("sentence"))
-    own = own.where("n = 1 and sentence and t.support >= 5").select("h1", "t.site", "t.support", "t.h2").join(sites, "site").where("support >= 0.1 * pages")
+    own = materialize(own.where("n = 1 and sentence and t.support >= 5").select("h1", "t.site", "t.support", "t.h2").join(sites, "site").where("support >= 0.1 * pages"), "own")
     spoken = own.groupBy("h2").agg(F.countDistinct("site").alias("n")).where("n >= 3").select("h2")
     # roles of forms: what may head a part, what heads lists of links, what labels one link
     by_form = real.groupBy("h2").agg(F.sum("heading").alias("heading"), F.sum("apart").alias("apart"), F.sum("occurs").alias("n"))
@@ -336,7 +338,7 @@ def known_tokens(one: DataFrame, tokens: DataFrame, templates: DataFrame, least_
         F.coalesce(F.expr("varied and apart >= 0.6 * n"), F.lit(False)).alias("lone"),
     )
     template = voted.unionByName(spoken).distinct().withColumn("tpl", F.lit(True))
-    forms = forms.join(template, "h2", "left").where("head or heading or links or lone or tpl")
+    forms = materialize(forms.join(template, "h2", "left").where("head or heading or links or lone or tpl"), "forms")  # tables of known size, so that small ones are broadcast and the tokens stay where they are
     # the site's own template: its levels, and what is nested in them and no slot by its looks
     here = templates.select("site", F.expr("level and tokens >= %d" % least_tokens).alias("large"), F.expr("level or inside is not null").alias("held"), F.explode("members").alias("m"))
     here = here.where("large or held and m.plain").select("site", "m.h1", "m.h2", "large")
@@ -344,7 +346,10 @@ def known_tokens(one: DataFrame, tokens: DataFrame, templates: DataFrame, least_
     tpl = F.expr("coalesce(tpl, false) or coalesce(own, false) or (large is not null and (large or not coalesce(heading, false)))")
     bit = lambda c, b: F.when(c, b).otherwise(0)
     flags = bit(tpl, TEMPLATE) + bit(F.col("head"), HEAD) + bit(F.col("links"), LINKS) + bit(F.col("lone"), ONE_LINK)
-    return materialize(known.select("site", "h1", "h2", "occurs", flags.alias("flags")).where("flags > 0"), "known")
+    known = materialize(known.select("site", "h1", "h2", "occurs", flags.alias("flags")).where("flags > 0"), "known")
+    for t in (own, forms):
+        drop_materialized(t.sparkSession, t)
+    return known
 
 
 def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float = 0.3, form_share: float = 0.5, least_tokens: int = 3) -> DataFrame:
@@ -359,7 +364,10 @@ def boilerplate_lines(cache: DataFrame, least_pages: int = 8, site_share: float
     """
     one = read_pages(cache)
     tokens = site_tokens(one)
-    known = known_tokens(one, tokens, site_templates(one, tokens, least_pages, site_share, least_tokens), least_pages, site_share, form_share, least_tokens)
+    templates = site_templates(one, tokens, least_pages, site_share, least_tokens)
+    known = known_tokens(one, tokens, templates, least_pages, site_share, form_share, least_tokens)
+    for t in (tokens, templates):
+        drop_materialized(one.sparkSession, t)
     # tokens of more than a 20,000th of all lines, 20,000 at most, are broadcast; the others meet their lines by a join without hot keys
     lines = one.agg(F.sum(F.size("no"))).first()[0] or 0
     hot = F.col("occurs") > lines / 20_000
