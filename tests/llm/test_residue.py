@@ -21,6 +21,9 @@ SCHEMA = "message_id bigint, role string, name string, content array<struct<type
         ("asdf asdf asdf asdf", "filler"),
         ("kk jkadsdf wrffesswedlss kfwwrqd", "filler"),
         ("...content pending...", "filler"),
+        ("tbd tbd tbd 4", "filler"),
+        ("lorem dolor " * 400, "filler"),
+        ("The mill of Ana was sold in 1700. " * 400, ""),
         ('The poster reads "PAGE NOT FOUND" because it advertises a play.', ""),
         ('It says "please enable scripts" on the painted sign, a joke by Ana Berg.', ""),
         ("The site works without JavaScript, which is why the register could be read.", ""),
@@ -48,6 +51,9 @@ def test_whole_texts(text, kind):
         ("shows <your place here>.", True),
         ("~year~", True),
         ("undefined", True),
+        ("According to __IMAGE URL__, it", True),
+        ("near XXsource_titleXX was", True),
+        ("the XXL shirt and the XXth century", False),
         ("a slot such as `{{ name }}` is replaced", False),
         ("the shell command echo $HOME, printed by", False),
         ("The set {1, 2, {num}} lists", False),
@@ -86,3 +92,29 @@ def test_every_text_is_classified(spark):
     texts = ["kq ewrfwkeqrlfdefqearr djwsjja srk f  kladrw es", "Minim sit sed aliqua ullamco labore nisi minim adipiscing elit.", "Database connection failed: too many clients\nTry reloading the page."]
     df = spark.createDataFrame(rows(*texts, "The low mill of Kofell lost nine stones after the long flood."), SCHEMA)
     assert {r["message_id"]: r["reason"] for r in R.residue(df).collect()} == {0: "filler", 1: "filler", 2: "error"}
+
+
+def test_slots_in_linear_time():
+    import time
+
+    def seconds(n):
+        begin = time.perf_counter()
+        assert R.read_slots("a {{ name }} and " * n)[0]
+        return time.perf_counter() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 40 * seconds(1_000)
+
+
+HELD_OUT = ["Service vorübergehend nicht erreichbar", "Resource is out of service", "Pagina non trovata", "Interner Serverfehler", "Texte d'exemple numéro 3", "Dummy caption"]
+
+
+def test_wordings_that_no_phrase_lists_are_told_by_recurrence(spark):
+    """Short notices in other words count where they recur in several messages of several sources, not where they stand once or in one source; what recurs without signs of a notice doesn't."""
+    assert not any(R.whole_kind(x) for x in HELD_OUT)
+    out = []
+    for text in HELD_OUT + ["The mill is closed", "INVALID_QUERY: error in the query", "Who made this error?"]:
+        out += [(len(out) + k, "tool", ("visit", "crop", None)[k % 3], [("text", text)], 0, "x", "y") for k in range(6)]
+    once = [(900, "tool", "visit", [("text", "Seite momentan nicht erreichbar")], 0, "x", "y")] + [(901 + k, "tool", "visit", [("text", "Network unreachable")], 0, "x", "y") for k in range(6)]
+    got = {r["message_id"] for r in R.residue(spark.createDataFrame(out + once, SCHEMA)).collect()}
+    assert got == set(range(6 * len(HELD_OUT)))
