@@ -1,9 +1,10 @@
 """Problem 8: texts cut at a field's limit or on their way.
 
-Each text runs through an automaton with a stack: brackets, quotes and escapes of JSON, and tags of markup. What is
-still open at the end, a broken character, escape, entity or tag at the end, and a written mark of a cut are evidence
-by themselves. A missing terminator is evidence only against the baseline of the text's source: the share of its texts
-that end with one, the endings that recur there without one, and the length at which its texts pile up.
+Each text runs through an automaton with a stack: brackets, quotes and escapes of JSON, tags of markup, quotes and
+brackets of prose. What is still open in JSON or markup at the end, a broken character, escape, entity or tag at the end,
+and a written mark of a cut are evidence by themselves. What prose leaves open, and a missing terminator, are evidence
+only against the baseline of the text's source: the share of its texts that leave something open, that end with a
+terminator, the endings that recur there without one, and the length at which its texts pile up.
 """
 
 from __future__ import annotations
@@ -24,20 +25,20 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "image", "img", "input"
 _JSON = re.compile(r'\\.|["{}\[\]]', re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>")
 _BRACKET_MARK = re.compile(
-    r"\s*(?:\[(?:…|\.{3}|\+?\s?[\d,.]+\s?(?:more\s)?(?:chars?|characters|words|bytes|more)|truncated|cut|more|continued|snip|abridged|text truncated)\]"
+    r"(?:\[(?:…|\.{3}|\+?\s?[\d,.]+\s?(?:more\s)?(?:chars?|characters|words|bytes|more)|truncated|cut|more|continued|snip|abridged|text truncated)\]"
     r"|\((?:…|\.{3}|more|read more|truncated|continued|cut)\)|<(?:truncated|cut|more)>)$",
     re.I,
 )
 _DOTS = re.compile(r"(?:…|\.{3,}|(?:\. ){2}\.)$")
 _BROKEN = re.compile(r"(?:\ufffd|[\ud800-\udfff]|\\u[0-9a-fA-F]{0,3}|(?<!\\)\\|&(?:#\d{0,6}|a|am|amp|l|lt|g|gt|q|qu|quo|quot|n|nb|nbs|nbsp|ap|apo|apos))$")
 _PARTIAL_TAG = re.compile(r"<(?:/|/?[A-Za-z][\w-]*(?:\s[^<>]*)?)?$")
-_SENTENCE = re.compile(rf"(?:[^\W\d_]{{3,}}|\d|[)\"”»])[{re.escape(TERMINATORS)}][{re.escape(CLOSERS)}]*\s+\S|[。！？]\S")
+_SENTENCE = re.compile(rf"(?:[^\W\d_]{{3}}|\d|[)\"”»])[{re.escape(TERMINATORS)}][{re.escape(CLOSERS)}]*\s+\S|[。！？]\S")
 _SEGMENTS = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|[\r\n]+")
 _LABEL = re.compile(r"(?:[A-ZÀ-Þ][\w'’]*(?:\s\w+)?:|[Ss]ee also)(?:[\s/,&]+(?:[A-ZÀ-Þ0-9][\w'’.-]*|of|von|de|the|and))+")
 _TITLE = re.compile(r"(?:[A-ZÀ-Þ0-9(][\w'’.,&()-]*|of|von|the|de|la|and|on|for|in|&)(?:[\s_]+(?:[A-ZÀ-Þ0-9(][\w'’.,&()-]*|of|von|the|de|la|and|on|for|in|&)){0,8}")
 _LIST_NUMBER = re.compile(r"(?:^|\n)\s*\d{1,3}[.)]?$")
 _NAME = re.compile(r"\b[A-ZÀ-Þ][\w'’]*(?:\s[A-ZÀ-Þ][\w'’]*)*")
-_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_LETTER = re.compile(r"[^\W_]")
 
 
 def _json_open(t: str) -> int:
@@ -75,58 +76,91 @@ def _markup_open(t: str) -> int:
     return 1 if stack else seen
 
 
+_OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
+_NESTING = re.compile("[" + re.escape("".join(_OPENERS) + "".join(_OPENERS.values())) + '"]')
+
+
+def _prose_open(t: str) -> bool:
+    """Whether a bracket or quote is open at the end of prose. Apostrophes and single quotes don't count, a closing one without its opening (as behind the letters of a list) is passed over, and so is an inch mark behind a figure."""
+    stack: list[str] = []
+    for m in _NESTING.finditer(t):
+        c = m.group()
+        if c == '"':
+            if stack and stack[-1] == c:
+                stack.pop()
+            elif c not in stack and not (m.start() and t[m.start() - 1].isdigit()):
+                stack.append(c)
+        elif c in _OPENERS:
+            stack.append(_OPENERS[c])
+        elif c in stack:
+            while stack.pop() != c:
+                pass
+    return bool(stack)
+
+
+def _last_word(t: str) -> str | None:
+    """The last word of a text, apostrophes within it included, however long it is."""
+    end = len(t)
+    while end and not _LETTER.match(t, end - 1):
+        end -= 1
+    start = end
+    while start and (_LETTER.match(t, start - 1) or (t[start - 1] in "'’" and start < end and start > 1 and _LETTER.match(t, start - 2))):
+        start -= 1
+    return t[start:end] or None
+
+
 def _mask(s: str) -> str:
     return _NAME.sub("N", re.sub(r"\d+(?:[.,]\d+)*", "0", s))
 
 
 def read_ending(text: str | None) -> tuple:
-    """(state, form, n, last, prose) of one text.
+    """(state, form, n, last, prose, open) of one text.
 
     state: blank; complete or cut, where the structure decides; dots; open (no terminator) or done (terminated).
     form: the masked last segment (open) or last three words (dots). last: its last word. prose: it holds a sentence
-    before the last segment.
+    before the last segment. open: it is terminated, and leaves a quote or bracket of prose open.
     """
     if text is None or not text.strip():
-        return "blank", None, None, None, False
+        return "blank", None, None, None, False, False
     n, t = len(text), text.rstrip()
     body = t.lstrip("\ufeff \t\r\n")
     prose = bool(_SENTENCE.search(t))
-    last = (_WORDS.findall(t[-80:]) or [None])[-1]
+    last = _last_word(t)
     if _BRACKET_MARK.search(t):
-        return "cut", None, n, last, prose
-    if _BROKEN.search(t) or _PARTIAL_TAG.search(t[-400:]):
-        return "cut", None, n, last, prose
+        return "cut", None, n, last, prose, False
+    if _BROKEN.search(t) or (t.rfind("<") >= 0 and _PARTIAL_TAG.match(t, t.rfind("<"))):
+        return "cut", None, n, last, prose, False
     dots = _DOTS.search(t)
     if body[0] in "{[" and len(body) > 1 and (body[1] in '"{[\n }]' or body[1].isdigit()):
         state = _json_open(body if not dots else body[: len(body) - len(dots.group())])
         if state >= 0:
             if state == 1:
-                return "cut", None, n, last, prose
+                return "cut", None, n, last, prose, False
             if t[-1] in "}]":
-                return "complete", None, n, last, prose
+                return "complete", None, n, last, prose, False
     if t[-1] in "}]" and '{"' in t and _json_open(t[t.index('{"') :]) == 0:
-        return "complete", None, n, last, prose
+        return "complete", None, n, last, prose, False
     tags = _markup_open(t)
     if tags == 1:
-        return "cut", None, n, last, prose
+        return "cut", None, n, last, prose, False
     if tags == 0 and t[-1] == ">":
-        return "complete", None, n, last, prose
+        return "complete", None, n, last, prose, False
     if dots:
         words = t[: dots.start()].split()
-        return "dots", _mask(" ".join(words[-3:])) + " " + dots.group().replace(" ", ""), n, last, prose
+        return "dots", _mask(" ".join(words[-3:])) + " " + dots.group().replace(" ", ""), n, last, prose, False
     end = t.rstrip(CLOSERS) or t
     if end[-1] in TERMINATORS:
-        return ("cut" if _LIST_NUMBER.search(t) and "\n" in t.strip() else "done"), None, n, last, prose
+        return ("cut" if _LIST_NUMBER.search(t) and "\n" in t.strip() else "done"), None, n, last, prose, _prose_open(t)
     segment = _SEGMENTS.split(t)[-1].strip()
     form = _mask(segment)
     if _LABEL.fullmatch(segment):
         form = "label"
     elif not prose and "\n" not in body and _TITLE.fullmatch(segment):
         form = "title"
-    return "open", form, n, last, prose
+    return "open", form, n, last, prose, False
 
 
-_ENDING = "state string, form string, n int, last string, prose boolean"
+_ENDING = "state string, form string, n int, last string, prose boolean, open boolean"
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -135,26 +169,27 @@ def endings(documents: DataFrame) -> DataFrame:
     @F.pandas_udf(_ENDING)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([read_ending(x) for x in s], columns=["state", "form", "n", "last", "prose"])
+            yield pd.DataFrame([read_ending(x) for x in s], columns=["state", "form", "n", "last", "prose", "open"])
 
     read = read.asNondeterministic()  # else a filter on its result would run it a second time
     e = spread(documents.select("doc_id", "source", "text")).withColumn("e", read("text"))
     return e.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.xxhash64("text").alias("h"), "e.*")
 
 
-def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float = 0.03, open_share: float = 0.01, final_rate: float = 0.2) -> DataFrame:
+def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float = 0.03, open_share: float = 0.01, final_rate: float = 0.2, unclosed_share: float = 0.02) -> DataFrame:
     """(doc_id, source, evidence) of each text that was cut.
 
     A form of ending counts as natural if it recurs in least_repeats different texts, makes up dots_share of all endings
     on dots, or open_share of all endings without a terminator in prose, and isn't found at the limit of length mainly.
     In sources whose texts mostly lack terminators, a text is cut if its last word is broken off (never seen elsewhere,
     the beginning of a known word), or if it has the source's limit of length and its last word hardly ever ends a line.
+    A terminated text that leaves a quote or bracket open is cut if at most unclosed_share of its source's are so.
 
     Null, empty and blank texts are no cases; a null source is a source of its own; repeated texts under other ids each
     get their row; an empty table gives none. Further columns don't matter.
     """
     known = materialize(endings(documents).where("state <> 'blank'"), "endings")
-    source = known.groupBy("src").agg(F.avg((F.col("state") == "done").cast("double")).alias("done"))
+    source = known.groupBy("src").agg(F.avg((F.col("state") == "done").cast("double")).alias("done"), F.avg(F.when(F.col("state") == "done", F.col("open").cast("double"))).alias("unclosed"))
     # the length at which a source's texts pile up, with next to nothing beyond it; a window row is a source's length
     lens = known.groupBy("src", "n").agg(F.count("*").alias("c"))
     near = Window.partitionBy("src").orderBy("n").rangeBetween(-20, -1)
@@ -208,13 +243,12 @@ def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float =
     ends = base.where("not is_prose and state = 'open' and not (src = '' and prose)").select("doc_id", "src", "full", F.lower("last").alias("word"))
     own = ends.join(words, ["src", "word"], "left")
     known_words = words.select("word").distinct()
-    heads = known_words.where("length(word) > 1").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("word")).distinct()
-    broken = (
-        own.where("seen is null and word rlike '^\\\\p{L}+$'")
-        .join(known_words, "word", "left_anti")
-        .join(heads, "word", "left_semi")
-        .select("doc_id", F.lit(True).alias("broken"))
-    )
+    # beginnings of known words: only those of a few lengths are listed, and a longer one is compared with the words that share the greatest of them
+    lengths = F.array(*[F.lit(n) for n in (*range(1, 9), *[1 << k for k in range(4, 31)])])
+    heads = known_words.withColumn("n", F.explode(F.filter(lengths, lambda n: n < F.length("word")))).select(F.expr("left(word, n)").alias("key"), F.col("word").alias("whole"))
+    lone = own.where("seen is null and word rlike '^\\\\p{L}+$'").join(known_words, "word", "left_anti")
+    lone = lone.withColumn("key", F.left("word", F.array_max(F.filter(lengths, lambda n: n <= F.length("word")))))
+    broken = lone.join(heads, (lone.key == heads.key) & F.startswith(heads.whole, lone.word) & (F.length(heads.whole) > F.length(lone.word)), "left_semi").select("doc_id", F.lit(True).alias("broken"))
     terse_cut = own.join(broken, "doc_id", "left").select(
         "doc_id",
         "src",
@@ -223,8 +257,9 @@ def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float =
                      when full and (seen is null or final < {final_rate} * seen) then 'at limit' end"""
         ).alias("evidence"),
     )
+    unclosed = known.where("state = 'done' and open").join(source.where(F.col("unclosed") <= unclosed_share).select("src"), "src").select("doc_id", "src", F.lit("unclosed").alias("evidence"))
     sure = known.where("state = 'cut'").select("doc_id", "src", F.lit("structure").alias("evidence"))
-    found = sure.unionByName(judged).unionByName(terse_cut).where("evidence is not null")
+    found = sure.unionByName(unclosed).unionByName(judged).unionByName(terse_cut).where("evidence is not null")
     return found.select("doc_id", F.expr("nullif(src, '')").alias("source"), "evidence")
 
 
@@ -232,6 +267,6 @@ def truncation_report(documents: DataFrame) -> DataFrame:
     """(source, documents, cut, share) for every source; blank texts count as documents that aren't cut."""
     n = documents.groupBy("source").agg(F.count("*").alias("documents"))
     c = cut_texts(documents).groupBy("source").agg(F.count("*").alias("cut"))
-    return n.join(F.broadcast(c).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return n.join(c.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "documents", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("documents")).alias("share")
     )

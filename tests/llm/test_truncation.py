@@ -20,6 +20,38 @@ def test_states(text, state):
     assert T.read_ending(text)[0] == state
 
 
+def test_a_tag_cut_in_a_long_attribute():
+    assert T.read_ending('See <img src="data:' + "A" * 5000)[0] == "cut" and T.read_ending("a < b, and c > d.")[0] == "done"
+
+
+@pytest.mark.parametrize(
+    ("text", "left_open"),
+    [
+        ('He said "yes. Then he went.', True), ("The mill (built by the guild. It fell.", True), ("«La torre cayó.", True), ('He said "yes."', False), ("a) first. b) second.", False),
+        ("It's the miller's dog.", False), ('A 5" pipe.', False), ("[see (a)] It fell.", False), ("「没有。", True),
+    ],
+)
+def test_prose_left_open(text, left_open):
+    assert T.read_ending(text)[:1] + T.read_ending(text)[-1:] == ("done", left_open)
+
+
+def test_unclosed_prose_against_its_source(spark):
+    """Where hardly any text leaves a quote open, one that does was cut; where many do, it is their habit."""
+    rows = [(k, f"The mill of {chr(97 + k % 26)} was sold in spring.", "neat", 0, 0, 0) for k in range(100)] + [(500, 'He said "no. It was sold.', "neat", 0, 0, 0)]
+    rows += [(1000 + k, f'He said "no {k}. It was sold.' if k % 3 else f"It was sold {k}.", "loose", 0, 0, 0) for k in range(60)]
+    assert {r["doc_id"] for r in T.cut_texts(spark.createDataFrame(rows, SCHEMA)).collect()} == {500}
+
+
+def test_a_word_of_a_million_letters(spark):
+    """Beginnings of very long words are found, and no list of all beginnings is made."""
+    long_word = "abcdefghij" * 100_000
+    lines = [f"Upper mill {k}\n{w}\nOpen in winter" for k, w in enumerate(["lighthouse", long_word, *("gate" + "s" * (k % 9) for k in range(20))])]
+    rows = [(k, t, "ocr", 0, 0, 0) for k, t in enumerate(lines)]
+    rows += [(100, "Lower gate\nOld lightho", "ocr", 0, 0, 0), (101, "Lower gate\nOld " + long_word[:700_001], "ocr", 0, 0, 0), (102, "Lower gate\nOld zzz", "ocr", 0, 0, 0), (103, "Lower gate\nOld lighthx", "ocr", 0, 0, 0)]
+    got = {r["doc_id"]: r["evidence"] for r in T.cut_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {100: "broken word", 101: "broken word"}
+
+
 def corpus(seed=0, n=1500):
     r = random.Random(seed)
     words = "tower lake stone river gate roof wall king mill path north winter metres letters".split()
