@@ -26,6 +26,10 @@ from ..session import drop_materialized, materialize, spread
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 MAX_BLOOM_BITS = 27  # 2 ** 27 bits, 16 MB: the greatest size that is ever broadcast
+BITS_EACH = 12  # of the filter for each name: with four positions about 6 in 1,000 other n-grams pass
+SALTS = 64
+HOT_PLACES = 100_000  # a name in fewer places is never hot
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 def tokens(text: str) -> list[str]:
@@ -80,36 +84,43 @@ def page_names(pages: DataFrame, hubs: DataFrame | None) -> DataFrame:
     return named.withColumn("any_hub", F.max("hub").over(Window.partitionBy("name"))).where("hub or not any_hub").drop("any_hub")
 
 
-def bloom(names: DataFrame, bits_each: int = 16) -> tuple[np.ndarray, int, list[int]]:
-    """A Bloom filter of the names as 64-bit words, its number of bits as a power of two, and the lengths of names in words."""
-    lengths = {int(r["words"]): int(r["n"]) for r in names.groupBy("words").agg(F.count("*").alias("n")).collect()}
-    n = sum(lengths.values())
-    power = min(MAX_BLOOM_BITS, max(12, int(np.ceil(np.log2(max(1, n * bits_each))))))
-    mask = (1 << power) - 1
+def _spots(h: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+    """The four positions of hashes in a filter."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [(h + np.uint64(k) * step) & mask for k in range(4)]
+
+
+def bloom(names: DataFrame, power: int) -> np.ndarray:
+    """A Bloom filter of 2 ** power bits of the names, as 64-bit words."""
+    mask = np.uint64((1 << power) - 1)
 
     @F.pandas_udf("array<bigint>")
     def positions(s: pd.Series) -> pd.Series:
         memo: dict[str, int] = {}
-        out = []
-        for x in s:
-            h = _name_hash(x.split(" "), memo)
-            out.append([h & mask, (h >> 33) & mask])
-        return pd.Series(out, dtype=object)
+        h = np.array([_name_hash(x.split(" "), memo) for x in s], dtype=np.uint64)
+        return pd.Series(list(np.stack(_spots(h, mask), axis=1).astype(np.int64)) if len(h) else [], dtype=object)
 
     spots = names.select(F.explode(positions("name")).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
     words = np.zeros(1 << max(0, power - 6), dtype=np.uint64)
     got = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2 ** (power - 6) rows
     if len(got):
         words[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.int64).view(np.uint64)
-    return words, power, sorted(lengths)
+    return words
 
 
-def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
-    """(traj_id, page, hub) of each page that a trajectory's texts or tool-call arguments name. A name inside a longer one isn't named."""
-    spark = trajectories.sparkSession
-    words, power, lengths = bloom(names)
-    shared = spark.sparkContext.broadcast(words)
-    mask = np.uint64((1 << power) - 1)
+def ngram_hashes(flat: np.ndarray, n: int, cache: dict) -> np.ndarray:
+    """The hash of each run of n token hashes, by prefix sums: any length at the price of one pass."""
+    if not cache:
+        power = np.multiply.accumulate(np.full(len(flat) + 1, _P, dtype=np.uint64))
+        back = np.multiply.accumulate(np.full(len(flat), _INVERSE, dtype=np.uint64))
+        cache["sum"] = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(flat * back, dtype=np.uint64)))
+        cache["power"] = np.concatenate((np.ones(1, dtype=np.uint64), power))
+    total, power = cache["sum"], cache["power"]
+    return (total[n:] - total[: len(total) - n]) * power[n : len(flat) + 1]
+
+
+def _finder(shared, mask: np.uint64, lengths: list[int]):
+    """A function on texts that gives the n-grams that pass a filter."""
 
     @F.pandas_udf("array<struct<at:int,words:int,name:string>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -117,7 +128,7 @@ def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
 
         def hits(h: np.ndarray) -> np.ndarray:
             ok = np.ones(len(h), dtype=bool)
-            for p in (h & mask, (h >> np.uint64(33)) & mask):
+            for p in _spots(h, mask):
                 ok &= (table[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             return ok
 
@@ -129,21 +140,33 @@ def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
             flat = np.fromiter((_token_hash(w, memo) for t in texts for w in t), dtype=np.uint64, count=int(counts.sum()))
             owner = np.repeat(np.arange(len(texts)), counts)
             found: list[list[dict]] = [[] for _ in texts]
-            h = np.zeros(len(flat), dtype=np.uint64)
-
-            for n in range(1, (lengths[-1] if lengths else 0) + 1):
+            cache: dict = {}
+            for n in lengths:
                 size = len(flat) - n + 1
                 if size <= 0:
                     break
-                h = h[:size] * _P + flat[n - 1 :]
-                if n not in lengths:
-                    continue
-                for k in np.nonzero(hits(h) & (np.arange(size) + n <= ends[:size]))[0]:
+                for k in np.nonzero(hits(ngram_hashes(flat, n, cache)) & (np.arange(size) + n <= ends[:size]))[0]:
                     o = owner[k]
                     at = int(k - starts[o])
                     found[o].append({"at": at, "words": n, "name": " ".join(texts[o][at : at + n])})
             yield pd.Series(found, dtype=object)
 
+    return find
+
+
+def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
+    """(traj_id, page, hub) of each page that a trajectory's texts or tool-call arguments name. A name inside a longer one isn't named.
+
+    One filter of at most 2 ** MAX_BLOOM_BITS bits holds 11 million names; more names are cut into as many parts, and the
+    texts are read once for each. Names that stand in more than a 20,000th of all places are met by a broadcast of at most
+    20,000 of them, the others by a join without hot keys.
+    """
+    spark = trajectories.sparkSession
+    lengths = {int(r["words"]): int(r["n"]) for r in names.groupBy("words").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    count = sum(lengths.values())
+    passes = -(-count * BITS_EACH // (1 << MAX_BLOOM_BITS)) or 1
+    power = min(MAX_BLOOM_BITS, max(12, int(np.ceil(np.log2(max(1, count * BITS_EACH / passes))))))
+
     @F.pandas_udf("array<string>")
     def strings(s: pd.Series) -> pd.Series:
         def read(x: str | None) -> list[str]:
@@ -169,8 +192,19 @@ def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
     parts = said.select("traj_id", F.explode("m.content").alias("p")).select("traj_id", F.col("p.text").alias("text"))
     calls = said.select("traj_id", F.explode("m.tool_calls").alias("c")).select("traj_id", F.explode(strings("c.function.arguments")).alias("text"))
     texts = spread(parts.unionByName(calls).where("text is not null and text <> ''")).withColumn("no", F.monotonically_increasing_id())
-    hits = texts.select("traj_id", "no", F.explode(find("text")).alias("f")).select("traj_id", "no", "f.at", (F.col("f.at") + F.col("f.words")).alias("end"), "f.name")
-    real = hits.join(names.select("name", "page", "hub"), "name")
+    if passes > 1:
+        texts = materialize(texts, "texts")
+    hits = None
+    for k in range(passes):
+        some = names if passes == 1 else names.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k)
+        find = _finder(spark.sparkContext.broadcast(bloom(some, power)), np.uint64((1 << power) - 1), sorted(lengths))
+        one = texts.select("traj_id", "no", F.explode(find("text")).alias("f")).select("traj_id", "no", "f.at", (F.col("f.at") + F.col("f.words")).alias("end"), "f.name")
+        hits = one if hits is None else hits.unionByName(one)
+    hits = materialize(hits, "hits")
+    places = hits.count()
+    hot = F.broadcast(hits.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_PLACES, places // 20_000)).select("name"))
+    named = names.select("name", "page", "hub")
+    real = hits.join(hot, "name", "left_anti").join(named, "name").unionByName(hits.join(F.broadcast(named.join(hot, "name", "left_semi")), "name"))
     before = Window.partitionBy("traj_id", "no").orderBy("at", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     outer = real.withColumn("reach", F.max(F.struct("end", F.col("at").alias("from"))).over(before))
     kept = outer.where("reach is null or reach.end < end or (reach.end = end and reach.from = at)")
@@ -225,8 +259,11 @@ def related_groups(trajectories: DataFrame, pages: DataFrame, hubs: DataFrame |
     star of as many edges, which contracts like any other.
     """
     named = materialize(mentions(trajectories, materialize(page_names(pages, hubs), "names")).where("not hub").select("traj_id", "page"), "mentions")
-    star = named.groupBy("page").agg(F.min("traj_id").alias("a"))
-    edges = named.join(star, "page").select("a", F.col("traj_id").alias("b")).where("a <> b").distinct()
+    # a star for each page and salt, and one of their centres, so that no page is a hot key
+    named = named.withColumn("salt", F.pmod(F.xxhash64("traj_id"), F.lit(SALTS)))
+    stars = named.groupBy("page", "salt").agg(F.min("traj_id").alias("a"))
+    centres = stars.groupBy("page").agg(F.min("a").alias("c"))
+    edges = named.join(stars, ["page", "salt"]).select("a", F.col("traj_id").alias("b")).unionByName(stars.join(centres, "page").select(F.col("c").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     up = components(edges)
     low = up.groupBy("root").agg(F.least(F.min("v"), F.first("root")).alias("group_id"))
     return up.join(low, "root").select(F.col("v").alias("traj_id"), "group_id").unionByName(low.select(F.col("root").alias("traj_id"), "group_id"))

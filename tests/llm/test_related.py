@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from loomtrail.llm import related as R
@@ -87,3 +89,11 @@ def test_splits_of_all(spark):
     p = pages(spark, ("Lake Pir", "Lake_Pir", None))
     df = spark.createDataFrame([traj(1, "Lake Pir"), traj(2, "Lake Pir"), traj(3, "x")], TRAJ)
     assert {(r["traj_id"], r["group_id"]) for r in R.related_splits(df, p, None).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_ngram_hashes_are_name_hashes():
+    words = "a lake of the old mill a lake of".split()
+    flat = np.array([R._token_hash(w, {}) for w in words], dtype=np.uint64)
+    cache = {}
+    for n in (1, 2, 5, 9):
+        assert R.ngram_hashes(flat, n, cache).tolist() == [R._name_hash(words[k : k + n], {}) for k in range(len(words) - n + 1)]
