@@ -19,32 +19,34 @@ from ..session import materialize, spread
 from .encode import token_count
 
 BLOCK_ROWS = 5000
+MOST_SOURCES, MOST_LANGS, MOST_TOPICS = 1000, 32, 32
 
-# Topics told by words of a page's title; the first that fits counts.
-TOPICS = [
-    ("building_place", r"church|bridge|museum|lighthouse|viaduct|canal|mill|opera|palace|station|brewery|house|railway|university"),
-    ("location", r"island|lake|mount|sea|río|ward|route|county|city|province|republic|marsh|line"),
-    ("artifact", r"codex|cup|manifesto|trilogy|symphony|locomotive|mark|festival|treaty|election|language|empire"),
-    ("organism", r"fern|warbler|alba|common"),
-    ("person", r"elder|mayor|engraver|von|saint"),
-]
 
+def topics(documents: DataFrame, most: int = MOST_TOPICS) -> list[str]:
+    """The words that name most documents by their page's title, the commonest first: counted over all documents; words of one letter and figures are none."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("page_title"), F.lit(r"(\p{L}{2,})"), 1))
+    titles = documents.where("page_title is not null").groupBy("page_title").agg(F.count("*").alias("n"))
+    return [r["w"] for r in titles.select("n", F.explode(words).alias("w")).groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "w").limit(most).collect()]
 
-def topic(title: Column) -> Column:
-    """One of six topics of a page title, none for a null one."""
-    t = F.lower(title)
-    out = F.when(title.isNull(), "none")
-    for name, words in TOPICS:
-        out = out.when(t.rlike(rf"\b(?:{words})\b"), name)
-    return out.otherwise("other")
+
+def topic(title: Column, words: list[str]) -> Column:
+    """The first of words that stands in a title; other for none of them, none for a null title."""
+    mine = F.regexp_extract_all(F.lower(title), F.lit(r"(\p{L}{2,})"), 1)
+    first = F.get(F.array_intersect(F.array(*[F.lit(w) for w in words]).cast("array<string>"), mine), F.lit(0))
+    return F.when(title.isNull(), "none").otherwise(F.coalesce(first, F.lit("other")))
 
 
 def language(lang: Column) -> Column:
-    """The two letters of a language, und for anything else: at most 677 values."""
+    """The two letters of a language, und for anything else."""
     two = F.lower(F.regexp_extract(lang, r"^([A-Za-z]{2})(?:$|[-_])", 1))
     return F.coalesce(F.when(two != "", two), F.lit("und"))
 
 
+def languages(documents: DataFrame, most: int = MOST_LANGS) -> list[str]:
+    """The commonest languages; the others are one margin."""
+    return [r["l"] for r in documents.groupBy(language(F.col("lang")).alias("l")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(most).collect()]
+
+
 def amounts(available: dict[str, float], targets: dict[str, float], caps: dict[str, float | None], total: float | str | None = None, fill: bool = False) -> dict[str, float]:
     """Tokens of each source: its target share of total, at most cap times what it has.
 
@@ -74,8 +76,8 @@ def amounts(available: dict[str, float], targets: dict[str, float], caps: dict[s
     return out
 
 
-def rake(cells: pd.DataFrame, amount: dict[str, float], caps: dict[str, float | None], rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Weights of the cells (columns source, lang, topic, tokens): tokens of the mix by tokens of the corpus. Sources are met last, so that theirs are exact; a weight stays within its source's cap."""
+def rake(cells: pd.DataFrame, amount: dict[str, float], caps: dict[str, float | None], rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, int]:
+    """Weights of the cells (columns source, lang, topic, tokens): tokens of the mix by tokens of the corpus; and how many rounds it took. Sources are met last, so that theirs are exact; a weight stays within its source's cap. Margins that sources and caps rule out together are met as far as they allow."""
     have = cells["tokens"].to_numpy(dtype=float)
     w = np.ones(len(cells))
     cap = np.array([math.inf if caps.get(s) is None else float(caps[s]) for s in cells["source"]])
@@ -98,7 +100,8 @@ def rake(cells: pd.DataFrame, amount: dict[str, float], caps: dict[str, float |
             w = new
         return w
 
-    for _ in range(rounds):
+    done = 0
+    for done in range(1, rounds + 1):
         old = w.copy()
         for codes, want in margins:
             now = np.bincount(codes, weights=w * have, minlength=len(want))
@@ -106,7 +109,28 @@ def rake(cells: pd.DataFrame, amount: dict[str, float], caps: dict[str, float |
         w = to_sources(np.maximum(w, 1e-9))
         if np.max(np.abs(w - old), initial=0.0) < tolerance:
             break
-    return w
+    return w, done
+
+
+def _calibrated(documents: DataFrame, targets: DataFrame, total: float | str | None, fill: bool, path: str | None) -> tuple[DataFrame, pd.DataFrame, int]:
+    """(documents with source, lang, topic and tokens; cells with their weights w; rounds)."""
+    rows = targets.where("source is not null").select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES or len({r["source"] for r in rows}) < len(rows):
+        raise ValueError("targets must be at most 1,000 sources, each once")
+    share = {r["source"]: float(r["target_share"] or 0.0) for r in rows}
+    caps = {r["source"]: None if r["max_repeats"] is None else int(r["max_repeats"]) for r in rows}
+    listed = F.broadcast(targets.where("source is not null").select("source"))  # at most 1,000 rows, as checked
+    d = documents.where("source is not null and text is not null").join(listed, "source")
+    known, said = languages(d), topics(d)
+    lang = F.when(language(F.col("lang")).isin(known), language(F.col("lang"))).otherwise("other")
+    d = spread(d.select("doc_id", "source", "lang", "page_title", "text")).select("doc_id", "source", lang.alias("lang"), topic(F.col("page_title"), said).alias("topic"), token_count(F.col("text"), path).alias("tokens"))
+    d = materialize(d, "counted").where("tokens > 0")  # filtered behind the table: a filter before it would count twice
+    # 1,000 sources x 33 languages x 34 topics at most: 1.1 million rows, 60 MB
+    cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values(["source", "lang", "topic"]).reset_index(drop=True)
+    available = {s: float(v) for s, v in cells.groupby("source")["tokens"].sum().items()}
+    amount = amounts({s: available.get(s, 0.0) for s in share}, share, caps, total, fill)
+    cells["w"], rounds = rake(cells, amount, caps)
+    return d, cells, rounds
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, fill: bool = False, path: str | None = None, seed: int = 11) -> DataFrame:
@@ -115,22 +139,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = No
     total is the size in tokens of which each source gets its share as far as its cap allows; by default all tokens of
     the listed sources' documents (see amounts). Documents without a source, of an unlisted source or without tokens
     take no part. A listed source without documents gets nothing. A null cap is none; a source listed twice is an error.
-    targets must be small: it is collected, more than 10,000 rows are an error.
+    targets must be small: it is collected, more than 1,000 rows are an error.
     """
-    rows = targets.where("source is not null").select("source", "target_share", "max_repeats").limit(10_001).collect()
-    if len(rows) > 10_000 or len({r["source"] for r in rows}) < len(rows):
-        raise ValueError("targets must be at most 10,000 sources, each once")
-    share = {r["source"]: float(r["target_share"] or 0.0) for r in rows}
-    caps = {r["source"]: None if r["max_repeats"] is None else int(r["max_repeats"]) for r in rows}
-    listed = F.broadcast(targets.where("source is not null").select("source"))  # at most 10,000 rows, as checked
-    d = documents.where("source is not null and text is not null").join(listed, "source")
-    d = spread(d.select("doc_id", "source", "lang", "page_title", "text")).select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.col("page_title")).alias("topic"), token_count(F.col("text"), path).alias("tokens"))
-    d = materialize(d, "counted").where("tokens > 0")  # filtered behind the table: a filter before it would count twice
-    # sources x 677 languages x 7 topics at most
-    cells = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).toPandas().sort_values(["source", "lang", "topic"]).reset_index(drop=True)
-    available = {s: float(cells.loc[cells["source"] == s, "tokens"].sum()) for s in share}
-    amount = amounts(available, share, caps, total, fill)
-    cells["w"] = rake(cells, amount, caps)
+    d, cells, _ = _calibrated(documents, targets, total, fill, path)
     cells["cell"] = np.arange(len(cells))
     cells["blocks"] = np.maximum(1, cells.groupby("source")["n"].transform("sum") // BLOCK_ROWS)
     spark = documents.sparkSession
@@ -150,3 +161,23 @@ def mix_report(documents: DataFrame, targets: DataFrame, total: float | str | No
     r = targets.where("source is not null").select("source", "target_share", "max_repeats").join(m, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")])
     all_ = F.sum("tokens").over(Window.partitionBy())  # one row for each listed source
     return r.withColumn("actual_share", F.when(all_ > 0, F.col("tokens") / all_).otherwise(0.0))
+
+
+def margin_report(documents: DataFrame, targets: DataFrame, total: float | str | None = None, fill: bool = False, path: str | None = None) -> DataFrame:
+    """(margin, value, target_share, actual_share, residual, rounds) of the calibrated weights for each source, language and topic.
+
+    The target of a source is its part of the mix as far as its cap allows, that of a language or topic its share of all
+    tokens of the listed sources. residual is what is left between the two: sources come first, and caps bind, so that
+    languages and topics are met only as far as the sources' own texts allow. rounds is how often all margins were raked.
+    """
+    _, cells, rounds = _calibrated(documents, targets, total, fill, path)
+    out = []
+    mixed = float((cells["w"] * cells["tokens"]).sum())
+    have = float(cells["tokens"].sum())
+    wanted = {r["source"]: float(r["target_share"] or 0.0) for r in targets.where("source is not null").limit(MOST_SOURCES).collect()}
+    for margin in ("source", "lang", "topic"):
+        for value, g in cells.groupby(margin):
+            want = wanted[value] if margin == "source" else float(g["tokens"].sum()) / have
+            got = float((g["w"] * g["tokens"]).sum()) / mixed if mixed else 0.0
+            out.append((margin, value, want, got, got - want, rounds))
+    return documents.sparkSession.createDataFrame(out, "margin string, value string, target_share double, actual_share double, residual double, rounds int")

@@ -92,6 +92,11 @@ def p7_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="exact")
 
 
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, shares and residuals of the sources, languages and topics that the weights were raked to."""
+    return mixing.margin_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of each document whose text was cut."""
     return truncation.cut_texts(table(spark, sf_dir, "documents")).select("doc_id")
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_exact_shares": p7_exact_shares,
+    "p7_margins": p7_margins,
     "p8_found": p8_found,
     "p8_report": p8_report,
 }
