@@ -204,7 +204,7 @@ def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float =
         .agg(F.max(F.struct("c", "n")).alias("m"))
         .select("src", F.col("m.n").alias("limit"))
     )
-    source = source.join(limits, "src", "left").withColumn("is_prose", F.expr("done >= 0.5 and src <> ''"))
+    source = materialize(source.join(limits, "src", "left").withColumn("is_prose", F.expr("done >= 0.5 and src <> ''")), "sources")  # read five times
     base = known.where("state in ('dots', 'open')").join(source, "src").withColumn("full", F.expr("coalesce(n between limit - 1 and limit, false)"))
     tail = base.withColumn("kind", F.expr("case when state = 'dots' then 'dots' when is_prose or src = '' and prose then 'open' end")).where("kind is not null")
     forms = tail.groupBy("kind", "form", "h").agg(F.max(F.col("full").cast("double")).alias("full")).groupBy("kind", "form").agg(F.count("*").alias("c"), F.avg("full").alias("full"))
@@ -240,6 +240,7 @@ def cut_texts(documents: DataFrame, least_repeats: int = 3, dots_share: float =
         .groupBy("src", "word")
         .agg(F.count("*").alias("seen"), F.sum("final").alias("final"))
     )
+    words = materialize(words, "words")
     ends = base.where("not is_prose and state = 'open' and not (src = '' and prose)").select("doc_id", "src", "full", F.lower("last").alias("word"))
     own = ends.join(words, ["src", "word"], "left")
     known_words = words.select("word").distinct()
