@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize, spread
 
 # The keys of a quality verdict.
 VERDICTS = ["answer_invariant", "unique_entity_path", "no_alias_leakage", "source_anchor_only", "visually_grounded", "needs_external_tools", "not_solved_by_one_reverse_image_search", "nontrivial"]
-BROADCAST_ROWS = 100_000
+MOST_NAME_BYTES = 32 * 1024 * 1024
 
 
 def answer_reason(question: Column, answer: Column) -> Column:
@@ -52,21 +56,49 @@ def leaked(question: Column, hidden: Column) -> Column:
 
 
 def leaks(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(key, name) of each text that contains a name, both normalised. Containment knows no equi join: names of up to BROADCAST_ROWS rows are sent to all tasks; beyond that they are cut into blocks that meet the texts one by one."""
+    """(key, name) of each text that contains a name, both normalised. Containment knows no equi join: an automaton of all names reads each text once. Names go to the tasks in parts of at most MOST_NAME_BYTES, and more parts than one read the normalised texts as often."""
     n = names.select(F.col(name).alias("name"), T.normalise(F.col(name)).alias("norm")).where("norm <> ''").distinct()
+    size = n.agg(F.sum(F.octet_length("norm") + F.octet_length("name")).alias("b")).first()["b"] or 0
+    parts = int(size // MOST_NAME_BYTES) + 1
     q = texts.select(key, T.normalise(F.col(text)).alias("q")).where("q <> ''")
-    count = n.count()
-    if count <= BROADCAST_ROWS:
-        return q.join(F.broadcast(n), F.contains(F.col("q"), F.col("norm"))).select(key, "name")
-    blocks = -(-count // BROADCAST_ROWS)
+    q = materialize(q, "normal") if parts > 1 else spread(q)
+    sc = texts.sparkSession.sparkContext
     out = None
-    for b in range(blocks):
-        part = n.where(F.pmod(F.xxhash64("norm"), F.lit(blocks)) == b)
-        hit = q.join(F.broadcast(part), F.contains(F.col("q"), F.col("norm"))).select(key, "name")
+    for b in range(parts):
+        part = n if parts == 1 else n.where(F.pmod(F.xxhash64("norm"), F.lit(parts)) == b)
+        words: dict[str, list[str]] = {}
+        for r in part.collect():  # at most about MOST_NAME_BYTES, as counted
+            words.setdefault(r["norm"], []).append(r["name"])
+        hit = q.select(key, F.explode(_contained(sc.broadcast(words))("q")).alias("name"))
         out = hit if out is None else out.unionByName(hit)
     return out
 
 
+def _contained(shared):
+    """A function that gives the names that a text contains, each once."""
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for norm, said in shared.value.items():
+            automaton.add_word(norm, said)
+        ready = len(automaton) > 0
+        if ready:
+            automaton.make_automaton()
+        for s in batches:
+            yield pd.Series([sorted({x for _, said in automaton.iter(q) for x in said}) if ready else [] for q in s], dtype=object)
+
+    return find
+
+
+def quality(question: Column, hidden: Column, answer: Column, verdicts: dict[str, Column]) -> Column:
+    """Whether a question passes all VERDICTS strictly. no_alias_leakage is told by the deterministic check over hidden names and the answer, whatever a judge says of it; a verdict that is missing or null refuses."""
+    clean = ~F.coalesce(leaked(question, F.concat(F.coalesce(hidden, F.array().cast("array<string>")), F.array(answer))), F.lit(False))
+    return all_true([clean if k == "no_alias_leakage" else verdicts.get(k, F.lit(None).cast("boolean")) for k in VERDICTS])
+
+
 def first_accepted(attempts: DataFrame, sample: str, order: list[str], accepted: str) -> DataFrame:
     """The first accepted attempt of each sample; samples without one are left out."""
     a = attempts.where(F.coalesce(F.col(accepted), F.lit(False)))

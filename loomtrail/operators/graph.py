@@ -34,6 +34,26 @@ def node_ok(incoming: Column, extract: Column, high: int = HUB_CAP, least_extrac
     return F.coalesce((incoming <= high) & (F.length(T.squeeze(extract)) >= least_extract), F.lit(False))
 
 
+def page_ok(extract: Column, incoming: Column, exists: Column, disambiguation: Column, image: Column | None = None, templates: Column | None = None, high: int = HUB_CAP, least_extract: int = 200) -> Column:
+    """Whether a fetched page may be used: there, no disambiguation, enough text, no hub; and, where image and templates are given (a start must be pictured), with an image and an infobox among its templates."""
+    ok = F.coalesce(exists, F.lit(False)) & ~F.coalesce(disambiguation, F.lit(False)) & node_ok(incoming, extract, high, least_extract)
+    if image is not None:
+        ok = ok & (F.coalesce(image, F.lit("")) != "")
+    if templates is not None:
+        ok = ok & F.coalesce(F.exists(templates, lambda t: F.contains(T.fold(t), F.lit("infobox"))), F.lit(False))
+    return ok
+
+
+def seed_batches(titles: DataFrame, key: str, seed: str, size: int) -> DataFrame:
+    """titles with batch, from 0: seeds in hashed order, size to a batch; which rows share a batch depends on the seed and the titles alone. Batches are cut within hash ranges, so that no task orders all titles."""
+    h = F.xxhash64(F.lit(seed), key)
+    t = titles.withColumn("_h", h).withColumn("_part", F.shiftright("_h", 54))
+    counts = t.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_off")  # at most 1,024 rows
+    no = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1 + F.col("_off")
+    return t.join(F.broadcast(before), "_part").withColumn("batch", F.floor(no / size).cast("bigint")).drop("_h", "_part", "_off")
+
+
 def first_links(links: DataFrame, fan_out: int) -> DataFrame:
     """(src, dst, relation): the first fan_out links of each node by position."""
     return links.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("pos"))).where(F.col("_r") <= fan_out).select("src", "dst", "relation")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize, spread
 
 MOST_RESULTS = 10
+QUERY_BLOCK = 20_000
 CACHE_TTL = 7 * 24 * 3600
 
 
@@ -18,13 +23,58 @@ def terms(text: Column) -> Column:
 
 
 def term_search(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query_text: str, doc_key: str, doc_text: str) -> DataFrame:
-    """(query_key, doc_key, hits, rank): the k documents that share most words with each query, ties by key; k within 1 and 10. An equi join on words: a document counts once per word."""
+    """(query_key, doc_key, hits, rank): the k documents that share most words with each query, ties by key; k within 1 and 10; a document counts once per word.
+
+    The queries are a stated set and go to the tasks in blocks of QUERY_BLOCK; the documents pass by once a block, and a
+    task keeps the best k of each query. So a word that stands in all documents is no hot key, and what is shuffled is
+    at most k rows for each query and task.
+    """
     k = max(1, min(MOST_RESULTS, k))
-    q = queries.select(query_key, F.explode(terms(F.col(query_text))).alias("term"))
-    d = documents.select(doc_key, F.explode(terms(F.col(doc_text))).alias("term"))
-    hits = d.join(q, "term").groupBy(query_key, doc_key).agg(F.count("*").alias("hits"))
+    q = queries.select(query_key, terms(F.col(query_text)).alias("terms")).where("size(terms) > 0")
+    d = documents.select(doc_key, terms(F.col(doc_text)).alias("terms")).where("size(terms) > 0")
+    n = q.count()
+    blocks = -(-n // QUERY_BLOCK)
+    d = materialize(d, "terms") if blocks > 1 else spread(d)
+    kind = {f.name: f.dataType.simpleString() for f in (*q.schema, *d.schema)}
+    best = None
+    for b in range(max(1, blocks)):
+        part = q if blocks <= 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
+        index: dict[str, list] = {}
+        for r in part.collect():  # QUERY_BLOCK rows or so
+            for w in r["terms"]:
+                index.setdefault(w, []).append(r[query_key])
+        hit = d.mapInPandas(_searcher(documents.sparkSession.sparkContext.broadcast(index), k, query_key, doc_key), f"`{query_key}` {kind[query_key]}, `{doc_key}` {kind[doc_key]}, hits bigint")
+        best = hit if best is None else best.unionByName(hit)
     w = Window.partitionBy(query_key).orderBy(F.col("hits").desc(), doc_key)
-    return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select(query_key, doc_key, "hits", "rank")
+    return best.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select(query_key, doc_key, "hits", "rank")
+
+
+def _searcher(shared, k: int, query_key: str, doc_key: str):
+    """The best k documents of a task for each query."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        top: dict = {}
+
+        def cut(rows: list) -> list:
+            rows.sort(key=lambda r: (-r[0], r[1]))
+            return rows[:k]
+
+        for pdf in batches:
+            for doc, words in zip(pdf[doc_key].tolist(), pdf["terms"]):
+                hits: dict = {}
+                for w in words:
+                    for q in index.get(w, ()):
+                        hits[q] = hits.get(q, 0) + 1
+                for q, n in hits.items():
+                    rows = top.setdefault(q, [])
+                    rows.append((n, doc))
+                    if len(rows) > 64 * k:
+                        top[q] = cut(rows)
+        found = [(q, doc, n) for q, rows in top.items() for n, doc in cut(rows)]
+        yield pd.DataFrame(found, columns=[query_key, doc_key, "hits"])
+
+    return search
 
 
 def result_list(items: DataFrame, key: str, query: str, rank: str = "rank") -> DataFrame:
