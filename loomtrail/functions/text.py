@@ -134,6 +134,16 @@ def search_key(q: Column, k: Column) -> Column:
     return F.sha2(F.concat(fold(q), F.lit("\n"), k.cast("string")), 256)
 
 
+def url_key(url: Column) -> Column:
+    """Cache key of an address: SHA-256 of it as it is, without white space at its ends."""
+    return F.sha2(strip(url), 256)
+
+
+def bytes_key(content: Column) -> Column:
+    """Cache key of bytes: their SHA-256; null for null."""
+    return F.sha2(content, 256)
+
+
 def image_parts(text: Column) -> Column:
     """Ordered parts of a text around its image marks: array of (type, text). Empty pieces are dropped; an empty text is one empty text part."""
     chunks = F.split(F.coalesce(text, F.lit("")), "<image>")

@@ -24,9 +24,9 @@ class Failed(Exception):
         self.code, self.retryable, self.after = code, retryable, after
 
 
-def http_failure(status: int, message: str = "", after: float | None = None) -> Failed:
-    """429 and 5xx may be tried again."""
-    return Failed(f"HTTP_{status}", message, status == 429 or status >= 500, after)
+def http_failure(status: int, message: str = "", after: float | None = None, spare_busy: bool = False) -> Failed:
+    """429 and 5xx may be tried again; with spare_busy (relays) 429 isn't, so that a busy service is left alone."""
+    return Failed(f"HTTP_{status}", message, status >= 500 or (status == 429 and not spare_busy), after)
 
 
 def with_retry(call: Callable[[str], str], tries: int = 4, first: float = 0.5, longest: float = 8.0, linear: bool = False, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str | None, int, Failed | None]]:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
+
+from ..functions import text as T
 
 
 def windowed(events: DataFrame, at: str, late: str, size: str, slide: str | None = None, by: list[str] | None = None, value: str | None = None) -> DataFrame:
@@ -63,6 +66,34 @@ def run_states(events: DataFrame, most_turns: int = 50) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(update, RUN_OUT, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def append_traces(events: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends scrubbed trace lines as JSON."""
-    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+def append_traces(events: DataFrame, path: str, checkpoint: str, limit: int = 500):
+    """Starts a query that appends trace lines as JSON, each text column scrubbed: data URIs as a mark of their length, anything else cut at limit."""
+    texts = {f.name for f in events.schema if isinstance(f.dataType, StringType)}
+    scrubbed = events.select(*[T.scrub(F.col(c), limit).alias(c) if c in texts else F.col(c) for c in events.columns])
+    return scrubbed.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+CACHED = "namespace string, cache_key string, value string, updated_at double, hit boolean"
+
+
+def cached_reads(reads: DataFrame, ttl: float = 7 * 24 * 3600, forget: bool = False) -> DataFrame:
+    """(namespace, cache_key, value, updated_at, hit) of a stream of reads (namespace, cache_key, value, at) against a cache kept as keyed state: a read no later than ttl seconds behind the stored write is a hit and gets the stored value; any other stores its own, unless that is null. The reads of a key within a batch are taken in order of time. forget drops the state of keys that were silent for ttl; it is for streams that run on, as one that ends by itself would wait for the silence."""
+
+    def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, at = state.get if state.exists else (None, None)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
+            hit = at is not None and r.at - at <= ttl
+            if not hit and r.value is not None:
+                value, at = r.value, float(r.at)
+            out.append((*key, value if hit else r.value, at if hit else float(r.at), hit))
+        if at is not None:
+            state.update((value, at))
+            if forget:
+                state.setTimeoutDuration(int(ttl * 1000))
+        yield pd.DataFrame(out, columns=["namespace", "cache_key", "value", "updated_at", "hit"])
+
+    return reads.groupBy("namespace", "cache_key").applyInPandasWithState(serve, CACHED, "value string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)

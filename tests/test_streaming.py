@@ -53,3 +53,18 @@ def test_append_traces(spark, data_dir, tmp_path):
     q = ST.append_traces(stream(spark, data_dir, tmp_path, "events").select("event_id", F.left("props", F.lit(5)).alias("props")), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == spark.read.parquet(f"{data_dir}/events.parquet").count()
+
+
+def test_traces_are_scrubbed_and_reads_cached(spark, tmp_path):
+    from loomtrail.streaming import agent_stream as E
+
+    src = tmp_path / "in"
+    rows = [("page", "k", "v1", 0.0, "data:abc"), ("page", "k", "v2", 50.0, "x" * 900), ("page", "k", None, 300.0, None), ("page", "n", None, 5.0, None)]
+    spark.createDataFrame(rows, "namespace string, cache_key string, value string, at double, note string").coalesce(1).write.json(str(src))
+    read = lambda: spark.readStream.schema("namespace string, cache_key string, value string, at double, note string").json(str(src))
+    E.append_traces(read(), str(tmp_path / "t"), str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    assert {len(r["note"]) for r in spark.read.json(str(tmp_path / "t")).where("note is not null").collect()} == {500, len("<data-uri:8 chars>")}
+    q = E.cached_reads(read().drop("note"), ttl=100.0).writeStream.format("json").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["cache_key"], r["hit"], r["value"], r["updated_at"]) for r in spark.read.schema(E.CACHED).json(str(tmp_path / "o")).collect() if r["value"])
+    assert got == [("k", False, "v1", 0.0), ("k", True, "v1", 0.0)]
