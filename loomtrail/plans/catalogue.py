@@ -133,6 +133,25 @@ def fatal_prefix_cut(spark: SparkSession, d: str) -> DataFrame:
     return C.fatal_cut(table(spark, d, "trajectories"))
 
 
+@query(f"""WITH {_TURNS} SELECT traj_id, arg_max({_strip("regexp_extract(text, '(?is)<response>(.*?)</response>', 1)")}, turn) AS answer FROM turns
+    WHERE role = 'assistant' AND coalesce(len(tool_calls), 0) = 0 AND regexp_matches(text, '(?is)<response>.*?</response>') GROUP BY traj_id""")
+def trajectory_final_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The final answer of each trajectory that has one."""
+    return C.final_answers(table(spark, d, "trajectories"))
+
+
+@query("""WITH l AS (SELECT namespace, cache_key, arg_max(value, struct_pack(a := updated_at, b := cache_id)) AS v FROM tool_cache WHERE updated_at IS NOT NULL AND namespace IS NOT NULL AND cache_key IS NOT NULL AND value IS NOT NULL GROUP BY ALL)
+    SELECT t.cache_id, l.v IS NOT NULL AS hit, cast(length(coalesce(l.v, t.cache_key, '')) AS bigint) AS chars FROM tool_cache t LEFT JOIN l ON l.namespace = 'page' AND l.cache_key = t.cache_key""")
+def cache_lookup_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Every key looked up among the read pages, and filled with itself where there is none."""
+    t = table(spark, d, "tool_cache")
+    stored = t.where("updated_at is not null and namespace is not null and cache_key is not null and value is not null").select("namespace", "cache_key", "value", "updated_at", "cache_id")
+    pages = R.latest(stored, ["namespace", "cache_key"], tie="cache_id")
+    asked = t.select("cache_id", F.lit("page").alias("namespace"), "cache_key")
+    r = R.lookup(asked, pages, ["namespace", "cache_key"], "value", F.coalesce("cache_key", F.lit("")))
+    return r.select("cache_id", "hit", F.length("value").cast("bigint").alias("chars"))
+
+
 _ROWS = """r AS (SELECT row_id, turn, role, coalesce(array_to_string(list_transform(list_filter(content, lambda p: p.type = 'text' AND p.text IS NOT NULL), lambda p: p.text), chr(10)), '') AS text,
       loaded_at, message_id FROM sft_messages
     ), l AS (SELECT row_id, turn, arg_max(struct_pack(role := role, text := text), struct_pack(loaded_at := loaded_at, message_id := message_id)) AS m FROM r GROUP BY row_id, turn
