@@ -211,28 +211,38 @@ def parse_tool_call(text: Column) -> Column:
     is cut, names no tool or has other arguments (null, too), all is content.
     """
     piece = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant")
-    raw = F.try_parse_json(F.when(F.contains(text, F.lit("<tool_call>")), F.element_at(F.split(text, "<tool_call>", 2), 2)))
-    inner = piece(raw, "function")
-    fn = F.when(json_kind(raw) == "OBJECT", F.when(inner.isNull(), raw).when(json_kind(inner) == "OBJECT", inner))
-    name0 = F.when(json_kind(piece(fn, "name")) == "STRING", F.try_variant_get(fn, "$.name", "string"))
-    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TOOL_ALIASES.items() for x in kv]), name0), name0)
-    given = piece(fn, "arguments")
-    object_ = F.when(json_kind(given) == "OBJECT", given).when(given.isNull(), F.parse_json(F.lit("{}"))).when(json_kind(given) == "STRING", whole_json(F.try_variant_get(fn, "$.arguments", "string")))
-    args = F.when(json_kind(object_) == "OBJECT", object_)
-    get = lambda k: F.to_json(piece(args, k))
-    said = lambda k: F.when(~get(k).isin('""', "null", "0", "false", "[]", "{}"), get(k))
-    or_null = lambda *c: F.coalesce(*c, F.lit("null"))
-    extra = lambda key, c: F.coalesce(F.concat(F.lit(f',"{key}":'), c), F.lit(""))
-    top_k = F.when(name == "text_search", F.coalesce(get("top_k"), get("topK")))
-    search = F.concat(F.lit('{"q":'), or_null(said("query"), get("q")), extra("hl", F.coalesce(said("hl"), F.when(said("lang").isNotNull(), said("lang")))), extra("top_k", top_k), F.lit("}"))
-    image = F.concat(F.lit('{"url":'), or_null(said("image"), get("url")), F.lit("}"))
-    fields = args.cast("map<string,variant>")
-    renamed = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "url"), F.create_map(F.lit("image"), piece(args, "url"))))
-    out = F.when(name.isin("text_search", "web_search"), search).when(name == "image_search", image)
-    out = out.when(name.isin(*IMAGE_TOOLS) & get("image").isNull() & get("url").isNotNull(), renamed).otherwise(F.to_json(args))
-    ok = name0.isNotNull() & args.isNotNull()
+    # a value is bound by a lambda, so that what several expressions need is worked out once
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    start = F.when(F.contains(text, F.lit("<tool_call>")), F.element_at(F.split(text, "<tool_call>", 2), 2))
+
+    def parsed(fn: Column) -> Column:
+        name0 = F.when(json_kind(piece(fn, "name")) == "STRING", F.try_variant_get(fn, "$.name", "string"))
+        given = piece(fn, "arguments")
+        object_ = F.when(given.isNull(), F.parse_json(F.lit("{}"))).otherwise(bind(json_kind(given), lambda k: F.when(k == "OBJECT", given).when(k == "STRING", whole_json(F.try_variant_get(fn, "$.arguments", "string")))))
+        name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TOOL_ALIASES.items() for x in kv]), name0), name0)
+        return bind(object_, lambda o: F.struct(name.alias("name"), F.when(json_kind(o) == "OBJECT", o).alias("args")))
+
+    def normal(p: Column) -> Column:
+        name, args = p["name"], p["args"]
+        get = lambda k: F.to_json(piece(args, k))
+        said = lambda k: bind(get(k), lambda x: F.when(~x.isin('""', "null", "0", "false", "[]", "{}"), x))
+        extra = lambda key, c: F.coalesce(F.concat(F.lit(f',"{key}":'), c), F.lit(""))
+        top_k = F.when(name == "text_search", F.coalesce(get("top_k"), get("topK")))
+        search = F.concat(F.lit('{"q":'), F.coalesce(said("query"), get("q"), F.lit("null")), extra("hl", F.coalesce(said("hl"), said("lang"))), extra("top_k", top_k), F.lit("}"))
+        image = F.concat(F.lit('{"url":'), F.coalesce(said("image"), get("url"), F.lit("null")), F.lit("}"))
+        renamed = F.to_json(F.map_concat(F.map_filter(args.cast("map<string,variant>"), lambda k, _: k != "url"), F.create_map(F.lit("image"), piece(args, "url"))))
+        out = F.when(name.isin("text_search", "web_search"), search).when(name == "image_search", image)
+        out = out.when(name.isin(*IMAGE_TOOLS) & piece(args, "image").isNull() & piece(args, "url").isNotNull(), renamed).otherwise(F.to_json(args))
+        ok = name.isNotNull() & args.isNotNull()
+        return F.struct(F.when(ok, name).alias("name"), F.when(ok, out).alias("arguments"))
+
+    def call(raw: Column) -> Column:
+        fn = bind(piece(raw, "function"), lambda inner: F.when(json_kind(raw) == "OBJECT", F.when(inner.isNull(), raw).when(json_kind(inner) == "OBJECT", inner)))
+        return bind(bind(fn, parsed), normal)
+
     clean = lambda c: strip(F.replace(c, F.lit("<|im_end|>"), F.lit("")))
-    return F.struct(F.when(ok, name).alias("name"), F.when(ok, out).alias("arguments"), F.when(F.coalesce(ok, F.lit(False)), clean(F.element_at(F.split(text, "<tool_call>", 2), 1))).otherwise(clean(text)).alias("content"))
+    content = lambda c: clean(F.when(c["name"].isNotNull(), F.element_at(F.split(text, "<tool_call>", 2), 1)).otherwise(text))
+    return bind(bind(F.try_parse_json(start), call), lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"), content(c).alias("content")))
 
 
 def score_of(text: Column) -> Column:
