@@ -32,15 +32,14 @@ def term_search(queries: DataFrame, documents: DataFrame, k: int, query_key: str
     k = max(1, min(MOST_RESULTS, k))
     q = queries.select(query_key, terms(F.col(query_text)).alias("terms")).where("size(terms) > 0")
     d = documents.select(doc_key, terms(F.col(doc_text)).alias("terms")).where("size(terms) > 0")
-    n = q.count()
-    blocks = -(-n // QUERY_BLOCK)
+    few = q.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(few) <= QUERY_BLOCK else -(-q.count() // QUERY_BLOCK)
     d = materialize(d, "terms") if blocks > 1 else spread(d)
     kind = {f.name: f.dataType.simpleString() for f in (*q.schema, *d.schema)}
     best = None
-    for b in range(max(1, blocks)):
-        part = q if blocks <= 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
+    for b in range(blocks):
         index: dict[str, list] = {}
-        for r in part.collect():  # QUERY_BLOCK rows or so
+        for r in few if blocks == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).collect():  # QUERY_BLOCK rows or so
             for w in r["terms"]:
                 index.setdefault(w, []).append(r[query_key])
         hit = d.mapInPandas(_searcher(documents.sparkSession.sparkContext.broadcast(index), k, query_key, doc_key), f"`{query_key}` {kind[query_key]}, `{doc_key}` {kind[doc_key]}, hits bigint")
