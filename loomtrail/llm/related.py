@@ -202,9 +202,12 @@ def mentions(trajectories: DataFrame, names: DataFrame) -> DataFrame:
         hits = one if hits is None else hits.unionByName(one)
     hits = materialize(hits, "hits")
     places = hits.count()
-    hot = F.broadcast(hits.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_PLACES, places // 20_000)).select("name"))
     named = names.select("name", "page", "hub")
-    real = hits.join(hot, "name", "left_anti").join(named, "name").unionByName(hits.join(F.broadcast(named.join(hot, "name", "left_semi")), "name"))
+    if places <= HOT_PLACES:  # then no name can be hot
+        real = hits.join(named, "name")
+    else:
+        hot = F.broadcast(hits.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_PLACES, places // 20_000)).select("name"))
+        real = hits.join(hot, "name", "left_anti").join(named, "name").unionByName(hits.join(F.broadcast(named.join(hot, "name", "left_semi")), "name"))
     before = Window.partitionBy("traj_id", "no").orderBy("at", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     outer = real.withColumn("reach", F.max(F.struct("end", F.col("at").alias("from"))).over(before))
     kept = outer.where("reach is null or reach.end < end or (reach.end = end and reach.from = at)")

@@ -91,6 +91,20 @@ def test_splits_of_all(spark):
     assert {(r["traj_id"], r["group_id"]) for r in R.related_splits(df, p, None).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_hot_names_and_many_filters_change_nothing(spark, monkeypatch):
+    """With every name taken as hot, and with the names cut into many filters, the mentions are the same."""
+    pages = spark.createDataFrame([(k, f"Lake {chr(97 + k)}ol", f"u/Lake_{chr(97 + k)}ol", [f"Old {chr(97 + k)}ol"], "n") for k in range(12)], PAGE)
+    trajs = spark.createDataFrame([traj(k, f"Near Lake {chr(97 + k % 12)}ol, not Lake {chr(97 + k * 5 % 12)}ol. Lake aol") for k in range(40)], TRAJ)
+    names = R.page_names(pages, None)
+    found = lambda: sorted(tuple(r) for r in R.mentions(trajs, names).collect())
+    plain = found()
+    assert plain
+    monkeypatch.setattr(R, "HOT_PLACES", 3)
+    assert found() == plain
+    monkeypatch.setattr(R, "MAX_BLOOM_BITS", 7)
+    assert found() == plain
+
+
 def test_ngram_hashes_are_name_hashes():
     words = "a lake of the old mill a lake of".split()
     flat = np.array([R._token_hash(w, {}) for w in words], dtype=np.uint64)
